@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, url_filter
+from . import packing, quality_crf, quality_rules, simhash, substrings, topk, url_filter
 from .common import read_table, with_package_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,3 +65,35 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
+
+
+ORACLE_SQL["op2_top_k"] = """
+WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) AS k, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id IS NOT NULL),
+ok AS (SELECT vec_id FROM x GROUP BY vec_id HAVING count(*) = count(CASE WHEN isfinite(x) THEN 1 END)),
+v AS (SELECT vec_id, k, CAST(floor(1024 * x) AS BIGINT) AS e FROM x JOIN ok USING (vec_id)),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.e * c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.k = c.k AND q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id GROUP BY q.vec_id, c.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score FROM s)
+SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 10"""
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
