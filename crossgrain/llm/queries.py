@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_crf, quality_rules, simhash, substrings, topk, url_filter
+from . import lm_scoring, mixing, packing, pii, quality_crf, quality_rules, simhash, substrings, topk, url_filter
 from .common import read_table, with_package_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +97,18 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.calibrated(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(read_table(spark, sf_dir, "documents"))
