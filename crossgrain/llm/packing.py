@@ -22,47 +22,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .tokens import WordTokenizer, tokenizer_path
 
 WINDOW = 2048
 END_ID = 1
-TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a task remembers. When full, the memory starts anew; results don't depend on it.
-REMEMBERED = 400_000
-
-
-class WordTokenizer:
-    """Ids of whole texts, as little-endian bytes, by looking up white-space separated words.
-
-    This tokenizer drops white space and its splits never span it, so a text's ids are its words' ids in a row.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for k in range(0, len(new), 50_000):
-            part = new[k : k + 50_000]
-            found = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            self.known.update(zip(part, (np.asarray(x.ids, "<u4").tobytes() for x in found), strict=True))
-
-    def ids(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.known.__getitem__, words))
-
-
-def tokenizer_path(name: str = TOKENIZER) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
 
 
 def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -123,12 +86,12 @@ def cut_pieces(docs: DataFrame, path: str, window: int) -> DataFrame:
     """A row per piece, with the task that made it and its rank among the task's pieces of that length."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, seen, task = WordTokenizer(path), np.zeros(window + 1, np.int64), TaskContext.get().partitionId()
+        tokens, seen, task = WordTokenizer.of(path), np.zeros(window + 1, np.int64), TaskContext.get().partitionId()
         end = np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = (tokens.ids(text) if text else b"") + end
+                ids = tokens.ids(text) + end
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     piece = ids[4 * start : 4 * (start + window)]
