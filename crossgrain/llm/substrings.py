@@ -2,18 +2,21 @@
 
 A byte goes if a string of LENGTH bytes that covers it also starts earlier. To find these strings:
 
-1. Every window of LENGTH bytes gets a key: the smallest hash of the GRAM-byte strings within it. Equal windows
-   have equal keys and neighbouring windows mostly share one, so a text becomes a list of runs of windows.
-   Keys are counted over blocks of documents; a window whose key occurs once is unique and is done with.
-2. The runs of repeated keys, with their bytes, are dealt by key. A task takes the keys in order, a chunk of
-   whole keys at a time, joins their bytes to one text and sorts the suffixes that start there.
-3. The sort is blockwise: the ranks of the suffixes at a difference cover's positions (modulo PERIOD) are made
-   first; then one bucket of suffixes (by first byte) at a time is sorted by its first PERIOD bytes, and ties are
-   resolved by cover ranks: for any two positions there is a shift below PERIOD that takes both into the cover.
+1. Every window of LENGTH bytes gets an anchor: the GRAM-byte string within it whose hash is smallest (the
+   leftmost such). Equal windows have equal anchors in equal places, and neighbouring windows mostly share one, so
+   a text becomes a list of runs of windows. Hashes are counted over blocks of documents; a window whose
+   anchor's hash occurs once is unique and is done with.
+2. The other runs are dealt by hash, with their bytes. A task takes hashes in order, a chunk of whole ones at a time.
+3. In a chunk the suffixes that start at anchors are sorted, and the reversed prefixes that end there. The sort is
+   blockwise: ranks of the suffixes at a difference cover's positions (modulo PERIOD) are made first; then one
+   bucket of suffixes (by first byte) at a time is sorted by its first PERIOD bytes, and ties are resolved by cover
+   ranks: for any two positions in use there is a shift below PERIOD that takes both into the cover.
    Memory is bounded by the chunk, and by the bucket within it.
-4. Suffixes that agree in LENGTH bytes stand side by side; all but the earliest are covered.
+4. A window with k bytes before its anchor equals another if their prefixes agree in k bytes and their suffixes in
+   LENGTH - k, which are stretches of the two orders. All but the earliest window of a class are covered.
 
-Exact copies of a text are settled beforehand: all but the first are covered throughout.
+Exact copies of a text are settled beforehand: all but the first are covered throughout. So are equal runs in
+one block.
 """
 
 from __future__ import annotations
@@ -31,39 +34,37 @@ from .common import materialize
 
 LENGTH, GRAM, PERIOD = 100, 20, 32
 #: Bytes of text that are hashed at once, in a block of documents, and in a chunk of keys.
-SEGMENT, BLOCK_BYTES, CHUNK = 1 << 20, 16 << 20, 4 << 20
-_MUL = 0x9E3779B97F4A7C15 | 1
+SEGMENT, BLOCK_BYTES, CHUNK = 1 << 18, 16 << 20, 12 << 20
+#: Bits that tell positions in a segment's bytes.
+PLACE = 22
 
 
-def window_keys(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, whether the key's string occurs in it twice) of each window of LENGTH bytes of b."""
+def window_anchors(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each GRAM-byte string of b, place of each window's anchor); b is longer than LENGTH and under 2^PLACE."""
+    n = len(b) - GRAM + 1
+    word = lambda k: np.ndarray(n, "<u8", b, k, (1,)).astype(np.uint64)  # noqa: E731  eight bytes from each place + k
     with np.errstate(over="ignore"):
-        power = lambda n: np.uint64(pow(_MUL, n, 1 << 64))
-        h, at = b.astype(np.uint64) + np.uint64(1), {}
-        for n in (1, 2, 4, 8):
-            at[n] = h
-            h = h[:-n] * power(n) + h[n:]
-        g = h[:-4] * power(4) + at[4][16:]  # strings of 16 + 4 bytes
-        g ^= g >> np.uint64(32)
+        g = word(0) * np.uint64(0x9E3779B97F4A7C15)
+        g += word(8)
+        g ^= g >> np.uint64(31)
         g *= np.uint64(0xD6E8FEB86659FD93)
+        g += word(GRAM - 8) * np.uint64(0xC2B2AE3D27D4EB4F)
         g ^= g >> np.uint64(32)
-
-    def merge(m, d, m2, d2):
-        return np.minimum(m, m2), (m == m2) | np.where(m < m2, d, d2)
-
-    levels = {1: (g, np.zeros(len(g), bool))}
-    for n in (1, 2, 4, 8, 16, 32):
-        m, d = levels[n]
-        levels[2 * n] = merge(m[:-n], d[:-n], m[n:], d[n:])
-    n = len(b) - LENGTH + 1  # a window has 81 strings: 64 + 16 + 1
-    m, d = (x[:n] for x in levels[64])
-    m, d = merge(m, d, *(x[64 : 64 + n] for x in levels[16]))
-    return merge(m, d, *(x[80 : 80 + n] for x in levels[1]))
-
-
-def runs(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of windows with equal keys: arrays (text's index, key, first window, windows, whether a string in it
-    may repeat), segment by segment."""
+        g *= np.uint64(0xD6E8FEB86659FD93)
+        g ^= g >> np.uint64(29)
+    # the smallest upper bits, then the leftmost place, by doubling: a window has 81 = 64 + 17 strings
+    m = g & ~np.uint64((1 << PLACE) - 1) | np.arange(n, dtype=np.uint64)
+    k = 1
+    while k < 64:
+        m = np.minimum(m[:-k], m[k:])
+        k *= 2
+    rest = LENGTH - GRAM + 1 - 64
+    return g, (np.minimum(m[: len(m) - rest], m[rest:]) & np.uint64((1 << PLACE) - 1)).astype(np.int64)
+
+
+def runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of windows with one anchor: arrays (text's index, hash, first window, windows, bytes from it to the
+    anchor), segment by segment."""
     batch, size = [], 0
     for i, t in enumerate(texts):
         for a in range(0, max(0, len(t) - LENGTH + 1), SEGMENT):  # windows a to a + SEGMENT
@@ -78,56 +79,62 @@ def runs(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.n
 
 
 def _runs(batch: list[tuple[int, int, bytes]]):
-    b = np.frombuffer(b"".join(p for _, _, p in batch), np.uint8)
     size = np.array([len(p) for _, _, p in batch])
     begin = np.cumsum(size) - size
-    key, twice = window_keys(b)
-    owner = np.repeat(np.arange(len(batch)), size - LENGTH + 1)  # of each whole window
-    at = np.arange(len(owner)) + np.repeat(begin - (np.cumsum(size - LENGTH + 1) - (size - LENGTH + 1)), size - LENGTH + 1)
-    key, twice = key[at], twice[at]
-    first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))))
-    count = np.diff(np.append(first, len(key)))
-    again = np.logical_or.reduceat(twice, first) | (count > LENGTH - GRAM + 1)
-    who = owner[first]
+    g, anchor = window_anchors(b"".join(p for _, _, p in batch) + b"\0" * 8)
+    count = size - LENGTH + 1
+    owner = np.repeat(np.arange(len(batch)), count)  # of each window that lies in one text
+    at = np.arange(len(owner)) + np.repeat(begin - (np.cumsum(count) - count), count)
+    anchor = anchor[at]
+    first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]))))
+    n = np.diff(np.append(first, len(anchor)))
+    who, place = owner[first], anchor[first]
     start = at[first] - begin[who] + np.array([a for _, a, _ in batch])[who]
-    return np.array([i for i, _, _ in batch])[who], key[first], start, count, again
+    return np.array([i for i, _, _ in batch])[who], g[place].view(np.int64), start, n, place - at[first]
 
 
 @cache
-def difference_cover(v: int = PERIOD) -> tuple[np.ndarray, np.ndarray]:
-    """(whether a residue is in the cover, shift[r, s] that takes residues r and s into it)."""
-    r = int(np.ceil(np.sqrt(v)))
+def difference_cover(residues: tuple[int, ...], v: int = PERIOD) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a residue is in the cover, shift[r, s] that takes residues r and s into it) for residues in use.
+
+    One residue is covered by itself; for more the cover has all differences modulo v.
+    """
     inside = np.zeros(v, bool)
-    inside[: r + 1] = True
-    inside[r::r] = True
-    inside[v - 1] = True
+    if len(residues) == 1:
+        inside[residues[0]] = True
+    else:
+        r = int(np.ceil(np.sqrt(v)))
+        inside[: r + 1] = True
+        inside[r::r] = True
+        inside[v - 1] = True
     d = np.arange(v)
     ok = inside[(d[:, None, None] + d) % v] & inside[(d[None, :, None] + d) % v]
-    assert ok.any(axis=2).all()
+    assert all(ok[r, s].any() for r in residues for s in residues)
     return inside, ok.argmax(axis=2)
 
 
 class SuffixSorter:
-    """Sorts suffixes of a text, one bucket at a time. Beyond its end a text goes on with zeros."""
+    """Sorts suffixes of a text that start at residues in use, one bucket at a time; zeros follow the text's end.
+
+    The order is that of the first LENGTH + PERIOD bytes at least.
+    """
 
-    def __init__(self, text: np.ndarray):
+    def __init__(self, text: np.ndarray, residues: tuple[int, ...] = tuple(range(PERIOD))):
         self.n = len(text)
-        padded = np.concatenate((text, np.zeros(2 * PERIOD + LENGTH + 8, np.uint8)))
-        self.text = padded
-        view = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))
-        self.word = view
-        self.inside, self.shift = difference_cover()
+        self.text = np.concatenate((text, np.zeros(4 * PERIOD + LENGTH, np.uint8)))
+        self.word = np.ndarray(len(self.text) - 7, ">u8", self.text, 0, (1,))
+        self.inside, self.shift = difference_cover(residues)
         self._rank_cover()
 
     def words(self, at: np.ndarray, offset: int) -> np.ndarray:
         """The eight bytes at these positions as whole numbers in byte order."""
-        return np.ascontiguousarray(self.word[at + offset]).view(">u8").ravel().astype(np.uint64)
+        return self.word[at + offset].astype(np.uint64)
 
     def _rank_cover(self) -> None:
         """Ranks of the suffixes at cover positions: names of PERIOD bytes, then doubling by PERIOD."""
         at = np.flatnonzero(self.inside[np.arange(self.n + PERIOD) % PERIOD])
         rank = np.zeros(self.n + 2 * PERIOD + 1, np.int64)
-        keys = [self.words(np.minimum(at, len(self.text) - PERIOD - 8), k) for k in range(0, PERIOD, 8)]
+        keys = [self.words(at, k) for k in range(0, PERIOD, 8)]
         order = np.lexsort(keys[::-1])
         new = np.zeros(len(at), bool)
         for k in keys:
@@ -192,82 +199,88 @@ class SuffixSorter:
         order = sorted(heads, key=cmp_to_key(self.before))
         return np.concatenate([heads[h] for h in order])
 
-    def same_as_previous(self, at: np.ndarray) -> np.ndarray:
-        """Whether sorted suffixes agree with the one before in LENGTH bytes."""
-        same = np.ones(len(at), bool)
-        same[:1] = False
-        for k in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
-            w = self.words(at, k)
-            same[1:] &= w[1:] == w[:-1]
-        return same
+    def order(self, at: np.ndarray) -> np.ndarray:
+        """All these positions in the order of their suffixes, bucket by bucket."""
+        at = np.sort(at)
+        first = self.text[at]
+        by_byte = np.argsort(first, kind="stable")
+        edges = np.searchsorted(first[by_byte], np.arange(257))
+        return np.concatenate([self.sort(at[by_byte[edges[k] : edges[k + 1]]]) for k in np.flatnonzero(np.diff(edges))]) if len(at) else at
 
 
-def later_windows(parts: list[bytes], counts: np.ndarray) -> np.ndarray:
-    """For runs in order of precedence: which windows (flat, counts[i] for run i) equal an earlier one.
+def ordered_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers in suffix order, bytes in which each agrees with the one before). Rows are multiples of PERIOD wide."""
+    wide = rows.shape[1]
+    order = SuffixSorter(rows.ravel(), (0,)).order(np.arange(len(rows)) * wide) // wide
+    differ = rows[order[1:]] != rows[order[:-1]]
+    agree = np.where(differ.any(axis=1), differ.argmax(axis=1), wide)
+    return order, np.concatenate(([0], agree))
 
-    A run's bytes hold its windows: counts[i] + LENGTH - 1 of them.
+
+def later_windows(parts: list[bytes], n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which windows equal one of a run before: a table runs x LENGTH, by bytes between window and anchor.
+
+    Runs come in order of precedence; parts[i] holds n[i] windows, its anchor starts at at[i].
     """
-    counts = np.asarray(counts, np.int64)
-    room = np.array([-(-(len(p) + 1) // PERIOD) * PERIOD for p in parts])
-    begin = np.cumsum(room) - room
-    # runs start at multiples of the period, and where they agree they mostly start alike: ties have one residue
-    text = np.frombuffer(b"".join(p.ljust(r, b"\0") for p, r in zip(parts, room.tolist(), strict=True)), np.uint8)
-    first = np.cumsum(counts) - counts
-    at = np.arange(int(counts.sum())) + np.repeat(begin - first, counts)
-    number = np.zeros(len(text) + 1, np.int64)
-    number[at] = np.arange(len(at))
-    sorter, later = SuffixSorter(text), np.zeros(len(at), bool)
-    by_byte = np.argsort(text[at], kind="stable")
-    edges = np.searchsorted(text[at][by_byte], np.arange(257))
-    for k in range(256):  # one suffix bucket at a time
-        bucket = at[by_byte[edges[k] : edges[k + 1]]]
-        if len(bucket) < 2:
+    n, at, count = np.asarray(n, np.int64), np.asarray(at, np.int64), len(parts)
+    later = np.zeros((count, LENGTH), bool)
+    wide = -(-LENGTH // PERIOD) * PERIOD
+    sides = []
+    for side in ([p[a:] for p, a in zip(parts, at.tolist(), strict=True)], [p[:a][::-1] for p, a in zip(parts, at.tolist(), strict=True)]):
+        rows = np.frombuffer(b"".join(p[:wide].ljust(wide, b"\0") for p in side), np.uint8).reshape(count, wide)
+        order, agree = ordered_rows(rows)
+        place = np.empty(count, np.int64)
+        place[order] = np.arange(count)
+        sides.append((place, agree))
+    (right, right_agree), (left, left_agree) = sides
+    index = np.arange(count)
+    stretch = lambda agree, k: np.maximum.accumulate(np.where(agree < k, index, 0))  # noqa: E731  by place
+    for k in range(LENGTH - GRAM + 1):
+        own = np.flatnonzero((at - n < k) & (k <= at))  # runs with such a window
+        if len(own) < 2:
             continue
-        done = sorter.sort(bucket)
-        cls = np.cumsum(~sorter.same_as_previous(done)) - 1
-        least = np.full(int(cls[-1]) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, cls, done)
-        later[number[done[done > least[cls]]]] = True
+        cls = stretch(right_agree, LENGTH - k)[right[own]] * count + stretch(left_agree, k)[left[own]]
+        order = np.argsort(cls, kind="stable")  # the first of a class takes precedence
+        again = cls[order[1:]] == cls[order[:-1]]
+        later[own[order[1:][again]], k] = True
     return later
 
 
 def covered_in_chunk(x: pd.DataFrame) -> pd.DataFrame:
-    """Intervals that the windows of whole keys cover. x: rows (key, ord, tag, start, n, part) in order."""
-    # equal runs of a key are sorted once: the first stands for all, the others are covered throughout
-    first = ~x.duplicated(["key", "part"])
-    heads = x[first]
-    later = later_windows(heads["part"].tolist(), heads["n"].to_numpy())
-    count = heads["n"].to_numpy(np.int64)
-    run = np.repeat(np.arange(len(heads)), count)
-    begin = heads["start"].to_numpy(np.int64)[run] + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
-    hit = np.flatnonzero(later)
-    fresh = np.concatenate(([True], (np.diff(hit) != 1) | (run[hit[1:]] != run[hit[:-1]]))) if len(hit) else np.zeros(0, bool)
-    a = hit[fresh]
-    b = hit[np.append(np.flatnonzero(fresh)[1:], len(hit)) - 1] if len(hit) else a
-    out = pd.DataFrame({"ord": heads["ord"].to_numpy()[run[a]], "tag": heads["tag"].to_numpy()[run[a]], "a": begin[a], "b": begin[b] + LENGTH})
-    rest = x[~first]
-    more = pd.DataFrame({"ord": rest["ord"], "tag": rest["tag"], "a": rest["start"], "b": rest["start"] + rest["n"] + LENGTH - 1})
-    return pd.concat([out, more], ignore_index=True).astype("int64")
+    """Intervals that the windows of whole hashes cover. x: rows (key, ord, tag, start, n, at, part) in order."""
+    at, start = x["at"].to_numpy(np.int64), x["start"].to_numpy(np.int64)
+    later = later_windows(x["part"].tolist(), x["n"].to_numpy(), at)
+    later = np.pad(later, ((0, 0), (1, 1)))  # stretches of covered windows: their ends by bytes before the anchor
+    step = np.diff(later.astype(np.int8), axis=1)
+    run, low = np.nonzero(step == 1)
+    high = np.nonzero(step == -1)[1] - 1
+    anchor = start[run] + at[run]
+    out = {"ord": x["ord"].to_numpy()[run], "tag": x["tag"].to_numpy()[run], "a": anchor - high, "b": anchor - low + LENGTH}
+    return pd.DataFrame(out).astype("int64")
 
 
 def sort_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Takes runs sorted by key and precedence; works on chunks of whole keys."""
+    """Takes runs sorted by hash and precedence; works on chunks of whole hashes."""
     held, size = [], 0
     for batch in batches:
+        whole = batch["part"].isna()
+        if whole.any():
+            x = batch[whole]
+            yield pd.DataFrame({"ord": x["ord"], "tag": x["tag"], "a": x["start"], "b": x["start"] + x["n"] + LENGTH - 1})
+            batch = batch[~whole]
         while len(batch):
-            if size >= CHUNK:  # end the chunk where its last key ends
-                last = held[-1]["key"].iloc[-1]
-                n = int((batch["key"] == last).sum()) if batch["key"].iloc[0] == last else 0
-                held.append(batch.iloc[:n])
-                batch = batch.iloc[n:]
-                if not len(batch):
-                    break
-                yield covered_in_chunk(pd.concat(held, ignore_index=True))
-                held, size = [], 0
+            if size >= CHUNK:  # end the chunk where its last hash ends
+                more = int(np.searchsorted(batch["key"].to_numpy(), held[-1]["key"].iloc[-1], side="right"))
+                held.append(batch.iloc[:more])
+                batch = batch.iloc[more:]
+                if len(batch):
+                    yield covered_in_chunk(pd.concat(held, ignore_index=True))
+                    held, size = [], 0
+                continue
             sizes = batch["part"].str.len().cumsum().to_numpy()
-            n = max(1, int(np.searchsorted(sizes, CHUNK - size, side="right")))
+            n = min(len(batch), int(np.searchsorted(sizes, CHUNK - size)) + 1)
             held.append(batch.iloc[:n])
-            size += int(sizes[n - 1]) if n <= len(sizes) else int(sizes[-1])
+            size += int(sizes[n - 1])
             batch = batch.iloc[n:]
     if held:
         yield covered_in_chunk(pd.concat(held, ignore_index=True))
@@ -312,15 +325,14 @@ def covered(docs: DataFrame) -> DataFrame:
 
     def count_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            home, seen = x["block"].to_numpy(np.int64), []
-            for who, key, _, _, again in runs(x["text"].tolist()):
-                seen.append(np.stack([key.view(np.int64), home[who], 1 + again.astype(np.int64)]))
+            home = x["block"].to_numpy(np.int64)
+            seen = [np.stack([key, home[who]]) for who, key, *_ in runs(x["text"].tolist())]
             if seen:
-                key, at, n = np.concatenate(seen, axis=1)
+                key, at = np.concatenate(seen, axis=1)
                 order = np.lexsort((at, key))
-                key, at, n = key[order], at[order], n[order]
+                key, at = key[order], at[order]
                 new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (at[1:] != at[:-1]))))
-                yield pd.DataFrame({"key": key[new], "block": at[new], "n": np.minimum(np.add.reduceat(n, new), 2)})
+                yield pd.DataFrame({"key": key[new], "block": at[new], "n": np.minimum(np.diff(np.append(new, len(key))), 2)})
 
     def repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Of rows sorted by key: those whose key has two or more. One row of the last key is carried on."""
@@ -347,21 +359,27 @@ def covered(docs: DataFrame) -> DataFrame:
         gone = set(zip(marks["key"][copy].tolist(), marks["tag"][copy].tolist(), strict=True))
         wanted = np.sort(marks["key"].to_numpy(np.int64)[~copy])
         docs = docs[[k not in gone for k in zip(docs["ord"].tolist(), docs["tag"].tolist(), strict=True)]] if gone else docs
-        docs = docs.drop_duplicates(["ord", "tag"])
-        texts, o, t, out = docs["text"].tolist(), docs["ord"].to_numpy(), docs["tag"].to_numpy(), []
-        for who, key, start, n, _ in runs(texts) if len(wanted) else ():
-            key = key.view(np.int64)
+        docs = docs.drop_duplicates(["ord", "tag"]).sort_values(["ord", "tag"])
+        texts, o, t, out, first = docs["text"].tolist(), docs["ord"].to_numpy(), docs["tag"].to_numpy(), [], set()
+        for who, key, start, n, at in runs(texts) if len(wanted) else ():
             near = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
             hit = np.flatnonzero(wanted[near] == key)
-            who, key, start, n = who[hit], key[hit], start[hit], n[hit]
-            part = [texts[i][s : s + c + LENGTH - 1] for i, s, c in zip(who.tolist(), start.tolist(), n.tolist(), strict=True)]
-            out.append(pd.DataFrame({"key": key, "ord": o[who], "tag": t[who], "start": start, "n": n, "part": part}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: [] for c in ("key", "ord", "tag", "start", "n", "part")})
+            who, key, start, n, at = who[hit], key[hit], start[hit], n[hit], at[hit]
+            part = []
+            for i, s, c, p in zip(who.tolist(), start.tolist(), n.tolist(), at.tolist(), strict=True):
+                own = texts[i][s : s + c + LENGTH - 1]
+                name = (p, own)
+                part.append(None if name in first else own)  # an equal run came before: covered throughout
+                first.add(name)
+            out.append(pd.DataFrame({"key": key, "ord": o[who], "tag": t[who], "start": start, "n": n, "at": at, "part": part}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: [] for c in ("key", "ord", "tag", "start", "n", "at", "part")})
 
     parts = (
         texts.groupBy("block").cogroup(marks.groupBy("block"))
-        .applyInPandas(cut_runs, "key long, ord long, tag long, start long, n long, part binary")
+        .applyInPandas(cut_runs, "key long, ord long, tag long, start long, n long, at long, part binary")
     )
+    # runs that are covered throughout need no sorting; their intervals go by other hashes, so that none is hot
+    parts = parts.withColumn("key", F.when(F.col("part").isNull(), F.xxhash64("ord", "start")).otherwise(F.col("key")))
     spans = (
         parts.repartition("key").sortWithinPartitions("key", "ord", "tag", "start")
         .mapInPandas(sort_chunks, "ord long, tag long, a long, b long")

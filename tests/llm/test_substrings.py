@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from crossgrain.llm import substrings as S
@@ -34,29 +35,50 @@ def made(seed):
     return texts
 
 
+def covering(texts):
+    """Covered bytes by runs and chunks, without Spark. texts in order of precedence."""
+    rows = []
+    for who, key, start, n, at in S.runs(texts):
+        for i, k, s, c, p in zip(who.tolist(), key.tolist(), start.tolist(), n.tolist(), at.tolist(), strict=True):
+            rows.append((k, i, 0, s, c, p, texts[i][s : s + c + S.LENGTH - 1]))
+    x = pd.DataFrame(rows, columns=["key", "ord", "tag", "start", "n", "at", "part"]).sort_values(["key", "ord", "start"], ignore_index=True)
+    out = [np.zeros(len(t), bool) for t in texts]
+    for got in S.sort_chunks(x.iloc[k : k + 50] for k in range(0, len(x), 50)):
+        for i, a, b in zip(got["ord"], got["a"], got["b"], strict=True):
+            out[i][a:b] = True
+    return out
+
+
 @pytest.mark.parametrize("seed", range(4))
-def test_windows_against_brute_force(seed):
-    texts = [t for t in made(seed) if len(t) >= S.LENGTH]
-    order = np.random.default_rng(seed).permutation(len(texts))
-    parts = [texts[i] for i in order]
-    later = S.later_windows(parts, np.array([len(p) - S.LENGTH + 1 for p in parts]))
-    seen, want = set(), []
-    for p in parts:
-        for i in range(len(p) - S.LENGTH + 1):
-            want.append(p[i : i + S.LENGTH] in seen)
-            seen.add(p[i : i + S.LENGTH])
-    assert later.tolist() == want
-
-
-def test_keys_are_the_same_for_equal_windows():
+def test_chunks_against_brute_force(monkeypatch, seed):
+    monkeypatch.setattr(S, "SEGMENT", 300)
+    monkeypatch.setattr(S, "CHUNK", [2000, 1 << 20][seed % 2])
+    texts = made(seed)
+    texts = [texts[i] for i in np.random.default_rng(seed).permutation(len(texts))]
+    for got, want in zip(covering(texts), brute(list(enumerate(texts))), strict=True):
+        assert got.tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("residues", [(0,), (3, 17), tuple(range(S.PERIOD))])
+def test_suffixes_are_sorted(residues):
+    r = np.random.default_rng(8)
+    text = b"".join([bytes(r.integers(97, 99, 150).astype(np.uint8)), b"abcab" * 60, b"b" * 150]) * 2
+    at = np.array([i for i in range(len(text)) if i % S.PERIOD in residues])
+    order = S.SuffixSorter(np.frombuffer(text, np.uint8), residues).order(at)
+    depth = S.LENGTH + S.PERIOD
+    strings = [text[i : i + depth].ljust(depth, b"\0") for i in order.tolist()]
+    assert strings == sorted(strings) and sorted(order.tolist()) == at.tolist()
+
+
+def test_equal_windows_have_equal_anchors():
     rng = np.random.default_rng(1)
     w = bytes(rng.integers(97, 100, 100).astype(np.uint8))
     texts = [b"zz" + w + b"q", w, b"k" * 50 + w]
     keys = {}
-    for who, key, start, n, _ in S.runs(texts):
-        for i, k, s, c in zip(who, key, start, n, strict=True):
+    for who, key, start, n, at in S.runs(texts):
+        for i, k, s, c, p in zip(who, key, start, n, at, strict=True):
             for j in range(c):
-                keys[int(i), int(s) + j] = int(k)
+                keys[int(i), int(s) + j] = int(k), int(p) - j
     assert keys[0, 2] == keys[1, 0] == keys[2, 50]
     assert len(keys) == sum(len(t) - 99 for t in texts)
 
