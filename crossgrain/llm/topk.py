@@ -25,6 +25,7 @@ ROWS, QUERIES = 8192, 512
 SCALE = 1024.0
 #: Products of whole numbers below this sum exactly in doubles.
 EXACT = 2.0**53
+LONG = 2**63 - 1
 
 
 def pack_blocks(df: DataFrame, rows: int) -> DataFrame:
@@ -119,13 +120,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = SCAL
     vectors: (vec_id, embedding). Components become floor(scale * x). Vectors that are null, or that hold
     null or non-finite components, and rows with a null id take no part. Candidates are all rows but those with
     the query's id. Fewer than k: all of them. Ties go to smaller ids. A shorter vector counts as padded with zeros.
+    Scores beyond a long are given as the nearest long.
     """
     x = F.col("embedding").cast("array<double>")
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(x))
     rows = rows.select(F.col("vec_id").cast("long"), F.transform(x, lambda v: F.floor(v * F.lit(scale)).cast("double")).alias("v"), is_query.alias("_q"))
-    blocks = pack_blocks(rows.select("vec_id", "v"), ROWS).withColumn("_k", F.lit(0))
+    blocks = pack_blocks(rows.select("vec_id", "v"), ROWS)
     asked = pack_blocks(rows.where("_q").select("vec_id", "v").repartition(F.floor(F.col("vec_id") / F.lit(100 * QUERIES))), QUERIES)
-    # every task that holds vector blocks gets every query block; neither side is bounded, so both are dealt out
+    # vector blocks are dealt out, and each block of queries goes to all parts: neither side has a bound
     tasks = max(8, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     blocks = blocks.withColumn("_k", F.pmod(F.xxhash64("ids"), F.lit(tasks)).cast("int"))
     asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "dims", "data")], F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("_k"))
@@ -149,7 +151,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = SCAL
                 out = []
                 for i, q in enumerate(q_ids.tolist()):
                     at, score = file.top(queries[i], ids == q, centre[i], off[i], ids, k)
-                    out.extend((q, v, int(s)) for v, s in zip(ids[at].tolist(), score.tolist(), strict=True))
+                    out.extend((q, v, max(-LONG, min(LONG, int(s)))) for v, s in zip(ids[at].tolist(), score.tolist(), strict=True))
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
 
     met = blocks.join(asked, "_k").select("ids", "dims", "data", "q_ids", "q_dims", "q_data").mapInPandas(meet, "query_id long, vec_id long, score long")
