@@ -219,7 +219,7 @@ def simulate(df: DataFrame, configs: list[Rules]) -> DataFrame:
     table = spark.createDataFrame([(k, *asdict(c).values()) for k, c in enumerate(configs)], ["config", *[f.name for f in fields(Rules)]])
     known = {k: c for k, c in enumerate(configs)}
 
-    def run(key, x: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         names = [c.split()[0] for c in TRADE.split(", ")]
         return pd.DataFrame([(key[0], *t) for t in replay(x, known[key[0]])], columns=names)
 

@@ -15,6 +15,7 @@ from ..functions.core import average_rank, rounded, zscore
 from ..operators import factors, gates, ic, live, portfolio, study, tensor, text
 from ..sources import panel as bars
 from ..sources import tables
+from ..sources.session import with_package_path
 from ..sources.tables import table
 from . import dsl
 from . import oracle as o
@@ -31,6 +32,7 @@ MIN_DAYS = 100
 def query(sql: Callable[[], str] | None = None, round_to: int | None = 6):
     def add(f: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with_package_path(spark)
             out = f(spark, sf_dir)
             return rounded(out, round_to) if round_to is not None else out
 
