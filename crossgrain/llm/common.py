@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.session import with_package_path  # noqa: F401
+
 #: The white space of the word rule: space and the ASCII controls 9 to 13.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
@@ -17,16 +17,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_package_path(spark: SparkSession) -> None:
-    """Lets Python workers import this package wherever the driver was started."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    known = env.get("PYTHONPATH", "")
-    inherited = os.environ.get("PYTHONPATH", "")
-    if root not in f"{known}:{inherited}".split(":"):
-        env["PYTHONPATH"] = f"{root}:{known}" if known else root
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a fresh one where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
