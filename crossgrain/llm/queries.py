@@ -86,7 +86,7 @@ SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 10"""
 
 @query
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.deduplicate(read_table(spark, sf_dir, "documents")).drop("kept")
+    return substrings.deduplicate(read_table(spark, sf_dir, "documents"), text=False)
 
 
 @query

@@ -387,8 +387,8 @@ def covered(docs: DataFrame) -> DataFrame:
     return spans.union(copies.select("ord", "tag", F.lit(0).cast("long"), F.col("n").cast("long")))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): what stays of each document.
+def deduplicate(docs: DataFrame, text: bool = True) -> DataFrame:
+    """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): what stays of each document; kept only if text is asked for.
 
     Every byte goes that a string of LENGTH bytes covers which also starts earlier: in a document with a smaller
     doc_id, or earlier in its own. Strings are judged on the input. Null doc_ids come last, rows with one doc_id in
@@ -398,15 +398,19 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     docs = keyed(docs)
     spans = covered(docs).groupBy("ord", "tag").agg(F.collect_list(F.array("a", "b")).alias("spans"))  # bounded by a text's length
 
+    with_text = bool(text)
+    schema = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    names = [c.split()[0] for c in schema.split(", ")]
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             rows = []
             for doc_id, text, spans in zip(x["doc_id"], x["text"], x["spans"], strict=True):
                 removed, n, kept = remove_intervals(text, [(int(a), int(b)) for a, b in spans] if spans is not None else [])
-                rows.append((doc_id, len(text), removed, n, hashlib.sha256(kept).hexdigest(), kept))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                rows.append((doc_id, len(text), removed, n, hashlib.sha256(kept).hexdigest(), *[kept] * with_text))
+            yield pd.DataFrame(rows, columns=names)
 
     # doc_id travels as a string: pandas has no whole numbers with nulls
     joined = docs.join(spans, ["ord", "tag"], "left").select(F.col("doc_id").cast("string"), "text", "spans")
-    out = joined.mapInPandas(cut, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = joined.mapInPandas(cut, schema)
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
