@@ -9,7 +9,7 @@ import regex
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers, in two generations. Results don't depend on it.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 #: Words of these characters are split and looked up here; the tokenizer itself takes all others.
 PLAIN = regex.compile(r"[\x21-\x7e¡-ɏ]+")
 #: How the tokenizer splits a word, once composed and in lower case (fixed by its file).
@@ -55,7 +55,7 @@ class WordTokenizer:
         if (ids := self.whole.get(piece)) is None:
             tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))
             ids = np.array([t.id for t in tokens], "<u4").tobytes()
-            if len(self.whole) >= REMEMBERED // 2:
+            if len(self.whole) >= REMEMBERED // 4:
                 self.whole.clear()
             self.whole[piece] = ids
         return ids
