@@ -306,7 +306,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, the text's bytes, and what names a row's text: ord (doc_id, null last) and tag (a hash)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     return docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumns(
-        {"ord": F.coalesce("doc_id", F.lit(2**63 - 1)), "tag": F.xxhash64("text")}
+        {"ord": F.coalesce("doc_id", F.lit(2**63 - 1)), "tag": F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))}
     )
 
 
@@ -365,13 +365,21 @@ def covered(docs: DataFrame) -> DataFrame:
             near = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
             hit = np.flatnonzero(wanted[near] == key)
             who, key, start, n, at = who[hit], key[hit], start[hit], n[hit], at[hit]
-            part = []
-            for i, s, c, p in zip(who.tolist(), start.tolist(), n.tolist(), at.tolist(), strict=True):
-                own = texts[i][s : s + c + LENGTH - 1]
-                name = (p, own)
-                part.append(None if name in first else own)  # an equal run came before: covered throughout
-                first.add(name)
-            out.append(pd.DataFrame({"key": key, "ord": o[who], "tag": t[who], "start": start, "n": n, "at": at, "part": part}))
+            fresh, spans = [], []
+            for k, (i, s, c, p) in enumerate(zip(who.tolist(), start.tolist(), n.tolist(), at.tolist(), strict=True)):
+                name = (p, texts[i][s : s + c + LENGTH - 1])
+                if name not in first:
+                    first.add(name)
+                    fresh.append((k, name[1]))
+                elif spans and spans[-1][0] == i and s <= spans[-1][2]:  # an equal run came before: covered throughout
+                    spans[-1][2] = s + c + LENGTH - 1
+                else:
+                    spans.append([i, s, s + c + LENGTH - 1])
+            k = np.array([k for k, _ in fresh], np.int64)
+            out.append(pd.DataFrame({"key": key[k], "ord": o[who[k]], "tag": t[who[k]], "start": start[k], "n": n[k], "at": at[k], "part": [x for _, x in fresh]}))
+            if spans:
+                i, a, b = np.array(spans, np.int64).T
+                out.append(pd.DataFrame({"key": 0, "ord": o[i], "tag": t[i], "start": a, "n": b - a - LENGTH + 1, "at": 0, "part": None}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: [] for c in ("key", "ord", "tag", "start", "n", "at", "part")})
 
     parts = (
