@@ -1,0 +1,203 @@
+"""Groups of texts whose sets of word shingles are similar: candidates by MinHash bands, then exact Jaccard.
+
+Texts with equal sets are one class. A class has BANDS x ROWS minima; classes that agree in all rows of a band meet, and
+those of them that agree in LEAST rows of all are candidates. Every link is the exact Jaccard similarity of two sets.
+
+Links are found in two rounds, so that a large group of copies does not bring all its pairs: first a spanning forest of
+likely candidates is tested, then every candidate pair that these links have not joined yet.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+from .components import components
+from .simhash import COUNT_BATCH, SEED, Forest, shingle_hashes
+
+#: A pair at similarity s shares a band with chance 1 - (1 - s^ROWS)^BANDS: 99.96 % at 0.8.
+BANDS, ROWS = 20, 5
+#: Rows of all in which candidates agree at least (80 are expected at 0.8), and those in which likely ones do.
+LEAST, LIKELY = 66, 85
+_mixes = np.random.default_rng(SEED).integers(0, 2**31, (2, BANDS * ROWS), np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, size), np.uint64))
+
+
+def minima(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of BANDS x ROWS minima per set; the largest number for an empty one."""
+    out = np.full((len(sets), BANDS * ROWS), 2**32 - 1, np.uint32)
+    first = 0
+    while first < len(sets):
+        last, n = first, 0
+        while last < len(sets) and (last == first or n + len(sets[last]) <= COUNT_BATCH):
+            n += len(sets[last])
+            last += 1
+        size = np.array([len(x) for x in sets[first:last]], np.int64)
+        full = np.flatnonzero(size)
+        if len(full):
+            h = np.concatenate(sets[first:last])
+            low, high = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint32)
+            begin = (np.cumsum(size) - size)[full]
+            for k in range(BANDS * ROWS):
+                out[first + full, k] = np.minimum.reduceat(low * _mixes[0, k] + high * _mixes[1, k], begin)
+        first = last
+    return out
+
+
+def text_key(text: str = "text") -> Column:
+    return F.xxhash64(F.col(text).cast("string"))
+
+
+def sketches(docs: DataFrame, size: int) -> DataFrame:
+    """Rows (doc_id, k, c, bands, agree): the text's key, its set's class, a number for each band, a byte for each row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            sets = [shingle_set(t, size) for t in x["text"]]
+            low = minima(sets)
+            bands = [[xxhash.xxh64_intdigest(row[b : b + ROWS].tobytes(), b) for b in range(0, BANDS * ROWS, ROWS)] for row in low]
+            bands = np.array(bands, np.uint64).reshape(-1, BANDS).view(np.int64)
+            c = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": x["doc_id"], "k": x["k"], "c": c, "bands": list(bands), "agree": [r.tobytes() for r in low.astype(np.uint8)]})
+
+    picked = docs.select(F.col("doc_id").cast("string"), text_key().alias("k"), F.col("text").cast("string").cast("binary").alias("text"))
+    out = picked.mapInPandas(run, "doc_id string, k long, c long, bands array<long>, agree binary")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def by_group(f: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """f of frames of rows in band order, none of which ends within a band."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            band = batch["band"].to_numpy()
+            if held and band[0] == band[-1] == held[-1]["band"].iloc[-1]:
+                held.append(batch)
+                continue
+            cut = int(np.searchsorted(band, band[-1]))
+            yield f(pd.concat([*held, batch.iloc[:cut]], ignore_index=True))
+            if band[0] == band[-1]:
+                held = [batch]
+            else:
+                held = [batch.iloc[cut:]]
+        if held:
+            yield f(pd.concat(held, ignore_index=True))
+
+    return run
+
+
+def edges_of(band: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1], [True]))) if len(band) else np.zeros(1, np.int64)
+
+
+def shared(x: pd.DataFrame) -> pd.DataFrame:
+    """The rows of bands that have several."""
+    size = np.diff(edges_of(x["band"].to_numpy()))
+    return x[np.repeat(size > 1, size)]
+
+
+def candidates(groups: DataFrame, least: int, every: bool) -> DataFrame:
+    """Pairs (a, b) of classes with different roots that share a band and agree in least rows: all, or a spanning forest."""
+
+    def pairs(c: np.ndarray, root: np.ndarray, agree: np.ndarray, forest: Forest) -> Iterator[tuple[int, int]]:
+        if every:
+            for i in range(len(c) - 1):
+                j = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+                for m in j[(agree[j] == agree[i]).sum(axis=1) >= least].tolist():
+                    yield int(c[i]), int(c[m])
+            return
+        left, ahead = np.arange(len(c)), []
+        while len(left):  # a search that visits each member once
+            if ahead:
+                i = ahead.pop()
+            else:
+                i, left = int(left[0]), left[1:]
+            close = (agree[left] == agree[i]).sum(axis=1) >= least
+            for j in left[close].tolist():
+                if forest.join(int(c[i]), int(c[j])):
+                    yield int(c[i]), int(c[j])
+                ahead.append(j)
+            left = left[~close]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forest = Forest()
+
+        def found(x: pd.DataFrame) -> pd.DataFrame:
+            c, root, out = x["c"].to_numpy(np.int64), x["root"].to_numpy(np.int64), []
+            agree = np.frombuffer(b"".join(x["agree"]), np.uint8).reshape(-1, BANDS * ROWS)
+            edges = edges_of(x["band"].to_numpy())
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if (root[a:b] != root[a]).any():
+                    out.extend(pairs(c[a:b], root[a:b], agree[a:b], forest))
+            return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+        yield from by_group(found)(batches)
+
+    dealt = groups.repartition("band").sortWithinPartitions("band", "c").mapInPandas(run, "a long, b long")
+    return dealt.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have this Jaccard similarity at least."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            keep = []
+            for one, two in zip(x["one"], x["two"], strict=True):
+                both = len(np.intersect1d(np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64), assume_unique=True))
+                keep.append(both >= similarity * ((len(one) + len(two)) // 8 - both) - 1e-9)
+            yield x.loc[keep, ["a", "b"]]
+
+    one, two = sets.toDF("a", "one"), sets.toDF("b", "two")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInPandas(run, "a long, b long")
+
+
+def grouped(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Rows (doc_id, k, root): the key of each row's text, and a number of its group."""
+    rows = materialize(sketches(docs, size), "sketches")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "k")  # null ids last
+    classes = rows.groupBy("c").agg(F.min(order).alias("o"), F.first("bands").alias("bands"), F.first("agree").alias("agree"))
+    classes = materialize(classes.select("c", "o.doc_id", "o.k", "bands", "agree"), "classes")
+    members = classes.select(F.explode("bands").alias("band"), "c", "agree").repartition("band").sortWithinPartitions("band")
+    groups = materialize(members.mapInPandas(by_group(shared), "band long, c long, agree binary"), "bands")
+
+    # the sets of classes that share a band with others
+    named = classes.join(groups.select("c").distinct(), "c", "left_semi").select("c", F.col("doc_id").alias("_id"), F.col("k").alias("_k"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("k"), F.col("text").cast("string").cast("binary").alias("text"))
+    picked = texts.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("k") == F.col("_k"))).select("c", "text")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            yield pd.DataFrame({"c": x["c"], "shingles": [shingle_set(t, size).tobytes() for t in x["text"]]})
+
+    sets = materialize(picked.dropDuplicates(["c"]).mapInPandas(cut, "c long, shingles binary"), "sets")
+    likely = candidates(groups.withColumn("root", F.col("c")), LIKELY, every=False)
+    links = materialize(similar(likely, sets, similarity), "likely")
+    roots = materialize(components(links), "roots").withColumnRenamed("node", "c")
+    open_ = groups.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    more = materialize(similar(candidates(open_, LEAST, every=True), sets, similarity), "others")
+    roots = materialize(components(links.union(more)), "roots").withColumnRenamed("node", "c")
+    return rows.select("doc_id", "k", "c").join(roots, "c", "left").select("doc_id", "k", F.coalesce("root", "c").alias("root"))
+
+
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Rows (doc_id, component_id): groups of texts whose sets of word shingles are similar, closed transitively.
+
+    component_id is the smallest doc_id of a group; null doc_ids never are it (null if there is no other). Null and
+    empty texts form one group.
+    """
+    rows = materialize(grouped(docs, size, similarity), "groups")
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "root").select("doc_id", "component_id")

@@ -277,18 +277,11 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     return with_components(table, 1, MAX_BITS, ((0, 0),)).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def bits_at(similarity: float, bits: int) -> int:
-    """The bits in which fingerprints of sets of this Jaccard similarity are expected to differ."""
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Rows (doc_id, component_id): groups of texts whose sets of word shingles are estimated to be similar.
+    """Rows (doc_id, component_id) by exact similarity of shingle sets; see minhash."""
+    from . import minhash
 
-    Fingerprints have 128 bits over distinct shingles, anchors two sets of 46 bits. Nulls and rows as above.
-    """
-    table = materialize(fingerprint_table(docs, size, 2, False), "fingerprints")
-    return with_components(table, 2, bits_at(similarity, 128), ((0, 0), (1, 0))).select("doc_id", "component_id")
+    return minhash.similar_groups(docs, size, similarity)
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -1,0 +1,28 @@
+import random
+
+from crossgrain.llm import minhash as M
+from crossgrain.llm import simhash
+
+
+def test_links_are_exact_at_the_threshold(spark):
+    """Pairs just above 0.8 are linked and pairs just under it are not; fingerprints alone lost half of the former."""
+    r, rows, want = random.Random(5), [], {}
+    words = [f"w{k}" for k in range(20_000)]
+    for k in range(150):
+        base = r.sample(words, 304)  # 300 shingles
+        # n words replaced at the end: 300 - n shingles are shared of 300 + n
+        n = 33 if k % 2 else 36
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[:-n] + [f"x{k}y{i}" for i in range(n)]))]
+        want[2 * k], want[2 * k + 1] = 2 * k, 2 * k if (300 - n) / (300 + n) >= 0.8 else 2 * k + 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(docs).collect()} == want
+
+
+def test_bands_across_batches():
+    import pandas as pd
+
+    x = pd.DataFrame({"band": [1, 2, 2, 2, 2, 3, 4, 4, 5], "c": range(9)})
+    for n in range(1, 10):
+        parts = [x.iloc[k : k + n] for k in range(0, 9, n)]
+        got = pd.concat(list(M.by_group(M.shared)(iter(parts))))
+        assert got["c"].tolist() == [1, 2, 3, 4, 6, 7], n
