@@ -201,3 +201,9 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
     rows = materialize(grouped(docs, size, similarity), "groups")
     least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "root").select("doc_id", "component_id")
+
+
+def representatives(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Rows (doc_id, k): of each group the smallest doc_id, null ids last, and the key of its text."""
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k")
+    return grouped(docs, size, similarity).groupBy("root").agg(F.min(order).alias("o")).select("o.doc_id", "o.k")

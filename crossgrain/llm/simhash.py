@@ -285,9 +285,11 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without near duplicates: of each group the row with the smallest doc_id stays, and of rows that share that
-    id one. Null and empty texts form one group; rows with a null doc_id stay if their group has no other."""
-    groups = similar_groups(docs, size, similarity)
-    keep = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    out = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    """docs without near duplicates: of each group one row stays, that with the smallest doc_id, null ids last, and of rows
+    that share that id one. Null and empty texts form one group."""
+    from . import minhash
+
+    keep = minhash.representatives(docs, size, similarity).toDF("_id", "_k")
+    out = docs.withColumn("_key", minhash.text_key())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("_key").eqNullSafe(F.col("_k"))
+    return out.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")

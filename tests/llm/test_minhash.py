@@ -26,3 +26,20 @@ def test_bands_across_batches():
         parts = [x.iloc[k : k + n] for k in range(0, 9, n)]
         got = pd.concat(list(M.by_group(M.shared)(iter(parts))))
         assert got["c"].tolist() == [1, 2, 3, 4, 6, 7], n
+
+
+def test_null_and_repeated_ids_lose_no_text(spark):
+    r = random.Random(8)
+    text = lambda: " ".join(r.choice("abcdefghij") + str(r.randrange(10_000)) for _ in range(60))
+    alone = [text() for _ in range(12)]
+    twice, other, last = text(), text(), text()
+    rows = [(None, t) for t in alone]  # each is its own group
+    rows += [(None, twice), (5, twice), (6, twice)]  # an id is ahead of null
+    rows += [(7, other), (7, last), (8, last), (3, last)]  # an id with a unique text and a copy
+    rows += [(None, None), (None, ""), (9, other + " "), (9, other + " ")]
+    docs = spark.createDataFrame([(*x, "en") for x in rows], "doc_id long, text string, lang string").repartition(3)
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    kept = [(x["doc_id"], x["text"] or "") for x in got.collect()]
+    want = [(None, t) for t in alone] + [(5, twice), (7, other), (3, last), (None, "")]
+    assert sorted(kept, key=str) == sorted(want, key=str)
