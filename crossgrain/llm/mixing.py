@@ -2,9 +2,10 @@
 
 Documents fall in cells (source stratum, language stratum, topic). The strata are those that the targets name and
 one for the rest, so the table of cells is bounded by the targets, whatever the corpus. Cell token counts come
-from one aggregation over all documents; the driver rakes them to the three marginals, turns the ratios of
-fitted to present tokens into sampling probabilities with the wanted total, and every document is kept if a hash
-of its own id and text falls below its cell's probability. No document moves.
+from one aggregation over all documents; the driver rakes them to the three marginals of the wanted total, with each cell
+bounded by its tokens, turns the ratios of fitted to present tokens into sampling probabilities, and every document is
+kept if a hash of its own id and text falls below its cell's probability. No document moves. A stratum with fewer tokens than its
+target is kept whole and the others of its marginal share the rest; report() says by how much targets are missed.
 """
 
 from __future__ import annotations
@@ -105,6 +106,56 @@ def probabilities(tokens: np.ndarray, fit: np.ndarray, budget: float) -> np.ndar
     return np.minimum(1, high * ratio)
 
 
+def filled(most: np.ndarray, parts: np.ndarray, total: float) -> np.ndarray:
+    """min(most, s x parts) with the s at which it sums to total, or to all that can be."""
+    out, some = np.zeros(len(parts)), np.flatnonzero((parts > 0) & (most > 0))
+    if not len(some):
+        return out
+    t, x = most[some], parts[some]
+    order = np.argsort(t / x)
+    t, x, place = t[order], x[order], some[order]
+    left, rest = total - np.concatenate(([0.0], np.cumsum(t)[:-1])), np.cumsum(x[::-1])[::-1]
+    s = left / rest  # if those before are full
+    open_ = np.flatnonzero(s * x <= t)
+    k = int(open_[0]) if len(open_) else len(t)
+    out[place[:k]] = t[:k]
+    if k < len(t):
+        out[place[k:]] = np.maximum(0.0, s[k]) * x[k:]
+    return out
+
+
+def bounded(tokens: np.ndarray, marginals: list[np.ndarray], budget: float, rounds: int = 2000, tolerance: float = 1e-9) -> np.ndarray:
+    """Expected tokens by cell, at most what is there, with marginals nearest to the targets at budget x all tokens."""
+    total, others = min(1.0, budget) * tokens.sum(), [tuple(k for k in range(tokens.ndim) if k != a) for a in range(tokens.ndim)]
+    allowed = tokens.copy()
+    for axis, m in enumerate(marginals):
+        if (m * tokens.sum(axis=others[axis])).any():
+            allowed = allowed * (m > 0).reshape([-1 if k == axis else 1 for k in range(tokens.ndim)])
+    wanted = []
+    for axis, m in enumerate(marginals):
+        here = allowed.sum(axis=others[axis])
+        wanted.append(filled(here, m if (m * here).any() else here, total))
+    free = allowed.copy()  # the product of the factors, without the bounds
+    for _ in range(rounds):
+        worst = 0.0
+        for axis, m in enumerate(wanted):
+            for k, w in enumerate(m):
+                at = tuple(slice(None) if a != axis else k for a in range(tokens.ndim))
+                most, x = allowed[at].ravel(), free[at].ravel()
+                worst = max(worst, abs(np.minimum(most, x).sum() - w))
+                got = filled(most, x, w)
+                inner = (got > 0) & (got < most * (1 - 1e-12))
+                full = (x > 0) & (most > 0)
+                if inner.any():
+                    scale = float((got[inner] / x[inner])[0])
+                else:  # all full, or nothing wanted
+                    scale = max(1.0, float((most[full] / x[full]).max())) if full.any() and w > 0 else float(w > 0)
+                free[at] = np.where(free[at] * scale > 0, np.clip(free[at] * scale, 1e-100, 1e100), 0.0)
+        if worst < tolerance * max(1.0, total):
+            break
+    return np.minimum(allowed, free)
+
+
 def cell_table(strata_df: DataFrame, targets: Targets) -> list[tuple[str, str, str, float, float]]:
     """(source, lang, topic, weight, probability) of each cell with tokens; at most one for each triple of targets."""
     marginals = targets.marginals()
@@ -116,7 +167,8 @@ def cell_table(strata_df: DataFrame, targets: Targets) -> list[tuple[str, str, s
     if not tokens.sum():
         return [(r[0], r[1], r[2], 1.0, min(1.0, targets.budget)) for r in rows]
     fit = rake(tokens, [np.array([m.get(k, 0.0) for k in n]) for m, n in zip(marginals, names, strict=True)])
-    p = probabilities(tokens, fit, targets.budget)
+    kept = bounded(tokens, [np.array([m.get(k, 0.0) for k in n]) for m, n in zip(marginals, names, strict=True)], targets.budget)
+    p = np.divide(kept, tokens, out=np.zeros_like(kept), where=tokens > 0)
     out = []
     for r in rows:
         at = tuple(n.index(r[a]) for n, a in zip(names, AXES, strict=True))
@@ -125,6 +177,19 @@ def cell_table(strata_df: DataFrame, targets: Targets) -> list[tuple[str, str, s
     return out
 
 
+def report(docs: DataFrame, targets: Targets | None = None) -> list[tuple[str, str, float, float, float]]:
+    """(axis, stratum, target, share of all tokens, expected share of the kept tokens) of each stratum."""
+    targets = targets or Targets()
+    kept = calibrated(docs, targets).groupBy(*AXES).agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens") * F.col("probability")).alias("e")).collect()
+    n, e = sum(r["n"] for r in kept) or 1, sum(r["e"] for r in kept) or 1.0
+    out = []
+    for axis, m in zip(AXES, targets.marginals(), strict=True):
+        for k in sorted({*m, REST}):
+            own = [r for r in kept if r[axis] == k]
+            out.append((axis, k, m.get(k, 0.0), sum(r["n"] for r in own) / n, sum(r["e"] for r in own) / e))
+    return out
+
+
 def calibrated(docs: DataFrame, targets: Targets | None = None, topic: Column | None = None) -> DataFrame:
     """docs' doc_id with n_tokens, strata, cell weight, probability, and sampled: whether the document is kept.
 

@@ -57,3 +57,23 @@ def test_documents(spark):
     assert sorted(map(key, kept.collect())) == sorted(key(r) for r in got if r["sampled"])
     empty = docs.limit(0)
     assert M.calibrated(empty).count() == 0 and M.sample(empty).count() == 0
+
+
+def test_bounds_do_not_bend_targets_that_can_be_met():
+    """One cell is short: its budget goes where the marginals still hold, not to all cells alike."""
+    tokens = np.array([[100.0, 900.0], [3000.0, 6000.0]])
+    marginals = [np.array([0.12, 0.88]), np.array([0.5, 0.5])]
+    plain = M.probabilities(tokens, M.rake(tokens, marginals), 0.6) * tokens
+    assert np.abs(plain.sum(axis=1) / plain.sum() - marginals[0]).max() > 0.001  # what clipping alone gives
+    kept = M.bounded(tokens, marginals, 0.6)
+    assert (kept <= tokens).all() and np.isclose(kept.sum(), 6000)
+    for axis in (0, 1):
+        assert np.allclose(kept.sum(axis=1 - axis) / 6000, marginals[axis], atol=1e-6)
+
+
+def test_a_short_stratum_is_kept_whole_and_reported(spark):
+    rows = [(k, "word " * 100, "en", "src0" if k < 20 else "src1") for k in range(400)]  # 5 % of the tokens; 15 % of 60 % wanted
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {(a, k): x for a, k, *x in M.report(docs)}
+    assert np.allclose(got["source_stratum", "src0"], [0.15, 0.05, 0.05 / 0.6])
+    assert np.allclose(got["source_stratum", "other"], [0.85, 0.95, 0.55 / 0.6])
