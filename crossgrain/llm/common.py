@@ -26,14 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
     """Writes a table in the shared folder and reads it back: cuts the lineage, survives lost executors.
 
-    The files go when the JVM ends, since returned frames still read them.
+    row_group: bytes of a row group, where tasks are to be finer than by default. The files go when the JVM ends, since returned frames still read them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.option("parquet.block.size", row_group) if row_group else writer).parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
