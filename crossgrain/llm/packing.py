@@ -128,7 +128,8 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
             x["sequence_id"], x["offset"] = row[:, 2] + turn // np.maximum(row[:, 3], 1), row[:, 4] + turn % np.maximum(row[:, 3], 1) * size
             yield x.drop(columns="rank")
 
-    ranked = pieces.join(counts.select("length", "task", "before"), ["length", "task"]).select(
+    # the counts have a row for each task and length, so they grow with the corpus and are never broadcast
+    ranked = pieces.join(counts.select("length", "task", "before").hint("shuffle_merge"), ["length", "task"]).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("rank") + F.col("before")).alias("rank")
     )
     out = ranked.mapInPandas(place, "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -1,19 +1,34 @@
-"""Ids of whole texts by a public tokenizer that drops white space, word by word."""
+"""Ids of whole texts by a public tokenizer that drops white space, piece by piece."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
-
-import numpy as np
-import regex
+from array import array
+from collections.abc import Iterator
 
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker remembers, in two generations. Results don't depend on it.
-REMEMBERED = 500_000
-#: Words of these characters are split and looked up here; the tokenizer itself takes all others.
-PLAIN = regex.compile(r"[\x21-\x7e¡-ɏ]+")
-#: How the tokenizer splits a word, once composed and in lower case (fixed by its file).
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Pieces whose ids a worker remembers, in two generations. Results don't depend on it.
+REMEMBERED = 1_000_000
+#: Characters of a text that are split at once, about.
+SLICE = 1 << 20
+#: Texts of these characters and white space are split here; the tokenizer itself takes other words.
+LEAST, MOST = 0x21, 0x24F
+SPACE = r"\x20\x09-\x0D"
+
+
+def _class(kind: str) -> str:
+    """The characters up to MOST of a general category, as ranges of a regular expression's class."""
+    codes = [c for c in range(LEAST, MOST + 1) if unicodedata.category(chr(c)).startswith(kind)]
+    starts = [c for c in codes if c - 1 not in codes]
+    ends = [c for c in codes if c + 1 not in codes]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True))
+
+
+PLAIN = re.compile(rf"[{SPACE}\x21-\x7e\xa1-{chr(MOST)}]*")
+#: How the tokenizer splits a word, once composed and in lower case (fixed by its file), for these characters.
+PIECES = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{_class('L')}]+|[{_class('N')}]|[^{SPACE}{_class('L')}{_class('N')}]+")
+BREAK = re.compile(f"[{SPACE}]")
 
 _workers: dict[str, WordTokenizer] = {}
 
@@ -31,8 +46,23 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class Known(dict):
+    """Ids by piece, made at the first look-up; half of those remembered are older ones."""
+
+    def __init__(self, tokens: WordTokenizer, older: dict):
+        super().__init__()
+        self.tokens, self.older = tokens, older
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.tokens.piece(piece)
+        self[piece] = ids
+        return ids
+
+
 class WordTokenizer:
-    """A text's ids are the ids of its words in a row, since splits never span white space."""
+    """A text's ids are those of its words' pieces in a row, since splits never span white space."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -40,9 +70,7 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.table = byte_characters()
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.whole: dict[str, bytes] = {}
+        self.known = Known(self, {})
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -52,35 +80,25 @@ class WordTokenizer:
         return _workers[path]
 
     def piece(self, piece: str) -> bytes:
-        if (ids := self.whole.get(piece)) is None:
-            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))
-            ids = np.array([t.id for t in tokens], "<u4").tobytes()
-            if len(self.whole) >= REMEMBERED // 4:
-                self.whole.clear()
-            self.whole[piece] = ids
-        return ids
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.table)
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def direct(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def plain(self, text: str) -> bytes:
+        """Ids of a text of plain characters."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        if len(self.known) > REMEMBERED // 2:
+            self.known = Known(self, dict(self.known))
+        return b"".join(map(self.known.__getitem__, PIECES.findall(text.lower())))
 
     def word(self, word: bytes) -> bytes:
-        """word: its ASCII letters in lower case."""
+        """word: holds no white space."""
         text = word.decode()
-        if not PLAIN.fullmatch(text):
-            return self.direct(text)
-        if not text.isascii():
-            text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
-        if text.isascii() and text.isalpha():
-            return self.piece(text)
-        return b"".join(map(self.piece, PIECES.findall(text)))
-
-    def __missing__(self, word: bytes) -> bytes:
-        if (ids := self.older.get(word)) is None:
-            ids = self.word(word)
-        if len(self.known) >= REMEMBERED // 2:
-            self.known, self.older = {}, self.known
-        self.known[word] = ids
-        return ids
+        return self.plain(text) if PLAIN.fullmatch(text) else self.direct(text)
 
     def ids(self, text: bytes | None) -> bytes:
         """Little-endian 32-bit ids. Null: none."""
@@ -88,9 +106,19 @@ class WordTokenizer:
             return b""
         if b"<|" in text:  # may hold a special token's string, which has its own id
             return self.direct(text.decode())
-        words, known = text.lower().split(), self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            get = known.get
-            return b"".join([get(w) or self.__missing__(w) for w in words])
+        found = []
+        for part in slices(text.decode()):
+            if PLAIN.fullmatch(part):
+                found.append(self.plain(part))
+            else:
+                found += map(self.word, part.encode().split())
+        return b"".join(found)
+
+
+def slices(text: str) -> Iterator[str]:
+    """The text in parts of about SLICE characters, cut at white space."""
+    first = 0
+    while len(text) - first > SLICE and (at := BREAK.search(text, first + SLICE)):
+        yield text[first : at.start()]
+        first = at.start()
+    yield text[first:]
