@@ -7,6 +7,8 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
+
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces whose ids a worker remembers, in two generations. Results don't depend on it.
 REMEMBERED = 1_000_000
@@ -28,6 +30,7 @@ def _class(kind: str) -> str:
 PLAIN = re.compile(rf"[{SPACE}\x21-\x7e\xa1-{chr(MOST)}]*")
 #: How the tokenizer splits a word, once composed and in lower case (fixed by its file), for these characters.
 PIECES = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{_class('L')}]+|[{_class('N')}]|[^{SPACE}{_class('L')}{_class('N')}]+")
+BOUNDED = re.compile(f"\n|{PIECES.pattern}")
 BREAK = re.compile(f"[{SPACE}]")
 
 _workers: dict[str, WordTokenizer] = {}
@@ -87,12 +90,15 @@ class WordTokenizer:
     def direct(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def turn(self) -> None:
+        if len(self.known) > REMEMBERED // 2:
+            self.known = Known(self, dict(self.known))
+
     def plain(self, text: str) -> bytes:
         """Ids of a text of plain characters."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        if len(self.known) > REMEMBERED // 2:
-            self.known = Known(self, dict(self.known))
+        self.turn()
         return b"".join(map(self.known.__getitem__, PIECES.findall(text.lower())))
 
     def word(self, word: bytes) -> bytes:
@@ -100,6 +106,25 @@ class WordTokenizer:
         text = word.decode()
         return self.plain(text) if PLAIN.fullmatch(text) else self.direct(text)
 
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and the ids of all, as 64-bit numbers. Words hold no white space."""
+        found, bound = [], b"\xff" * 4
+        for a in range(0, len(words), 4096):
+            text = b"\n".join(words[a : a + 4096]).decode() + "\n"
+            if PLAIN.fullmatch(text):
+                if not text.isascii():
+                    text = unicodedata.normalize("NFC", text)
+                self.turn()
+                # line feeds bound words, and no piece holds one
+                known = self.known.__getitem__
+                found += [bound if p == "\n" else known(p) for p in BOUNDED.findall(text.lower())]
+            else:
+                for w in words[a : a + 4096]:
+                    found += (self.word(w), bound)
+        ids = np.frombuffer(b"".join(found), "<u4")
+        at = np.flatnonzero(ids == 0xFFFFFFFF)
+        return np.diff(at, prepend=-1) - 1, ids[ids != 0xFFFFFFFF].astype(np.int64)
+
     def ids(self, text: bytes | None) -> bytes:
         """Little-endian 32-bit ids. Null: none."""
         if not text:
