@@ -15,8 +15,8 @@ emitted, never all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Iterable, Iterator
+from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
@@ -34,6 +34,8 @@ MAX_BITS, REACH = 3, 2
 GOLAY, BLOCK = 0b110001110101, 23
 #: Shingles whose bits are counted at once, and groups that are compared by offsets instead of searched.
 COUNT_BATCH, SMALL = 1 << 15, 24
+#: For each byte a word whose bytes are its bits, the lowest first.
+SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
 class Golay:
@@ -67,18 +69,18 @@ class Golay:
         return at, x[at] ^ words[first[s[at]] + inner]
 
 
-def covering_anchors(golay: Golay, prints: np.ndarray, shift: int, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
-    """(index, anchor) for all anchors whose distances beyond the radius sum to at most reach over both blocks."""
-    mask = np.uint64((1 << BLOCK) - 1)
-    low = ((prints >> np.uint64(shift)) & mask).astype(np.int64)
-    high = ((prints >> np.uint64(shift + BLOCK)) & mask).astype(np.int64)
+def covering_anchors(golay: Golay, low: np.ndarray, high: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
+    """(index, anchor) for all anchors whose distances beyond the radius sum to at most reach over both blocks of 23 bits.
+
+    A code word is known by its highest 12 bits, so an anchor is a number of 24 bits.
+    """
     at, anchors = [], []
     for e in range(reach + 1):
         i, one = golay.anchors(low, e)
         for f in range(reach + 1 - e):
             j, two = golay.anchors(high[i], f)
             at.append(i[j])
-            anchors.append((one[j] << BLOCK) | two)
+            anchors.append(((one[j] >> 11) << 12) | (two >> 11))
     return np.concatenate(at), np.concatenate(anchors)
 
 
@@ -93,72 +95,67 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def shingle_hashes(text: bytes | None, size: int) -> list[int]:
+def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
     words = text.lower().split() if text else []  # bytes: A-Z and ASCII white space only
     if len(words) <= size:
-        return [xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else []
-    digest, row = xxhash.xxh64_intdigest, b" ".join
-    return [digest(row(g), SEED) for g in zip(*(words[k:] for k in range(size)), strict=False)]
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
+    rows = map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False))
+    return np.fromiter(map(xxhash.xxh64_intdigest, rows, repeat(SEED)), np.uint64, len(words) - size + 1)
 
 
-def class_numbers(prints: np.ndarray) -> np.ndarray:
-    """A signed long for each fingerprint: itself if it has one part, else a mix of its parts."""
-    out = prints[:, 0]
-    for k in range(1, prints.shape[1]):
-        out = mixed(out, 8) ^ prints[:, k]
-    return np.ascontiguousarray(out).view(np.int64)
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, size))
 
 
-def fingerprints(texts: list[bytes | None], size: int, parts: int = 1, repeats: bool = True) -> np.ndarray:
-    """A row of parts x 64 bits per text: a bit is 1 if over half of the shingle hashes have it.
+def bit_counts(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """How many of the hashes from each begin to the next have each of the 64 bits, the lowest first."""
+    # a byte's bits become the bytes of a word, of which up to 255 are summed before one can overflow
+    words = SPREAD[h.view(np.uint8).reshape(-1, 8)]
+    size = np.diff(np.append(begin, len(h)))
+    parts = -(-size // 255)
+    first = np.cumsum(parts) - parts
+    at = np.repeat(begin, parts) + 255 * (np.arange(int(parts.sum())) - np.repeat(first, parts))
+    return np.add.reduceat(np.add.reduceat(words, at, axis=0).view(np.uint8).reshape(-1, 64), first, axis=0, dtype=np.int64)
 
-    repeats: whether a shingle counts as often as it occurs, or once.
-    """
-    ones = np.zeros((len(texts), parts * 64), np.int64)
-    total = np.zeros(len(texts), np.int64)
-    pending: list[int] = []
-    owner: list[tuple[int, int]] = []
+
+def fingerprints(hashes: Iterable[np.ndarray], parts: int = 1) -> np.ndarray:
+    """A row of parts x 64 bits for each array of shingle hashes: a bit is 1 if over half of them have it."""
+    ones, total, pending, held = [], [], [], 0
 
     def flush() -> None:
-        if not pending:
-            return
-        h = np.array(pending, np.uint64)
-        begin = np.cumsum([0] + [n for _, n in owner[:-1]])
-        rows = np.array([i for i, _ in owner])
-        for k in range(parts):
-            bits = np.unpackbits(mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            np.add.at(ones[:, 64 * k : 64 * k + 64], rows, np.add.reduceat(bits, begin, axis=0, dtype=np.int64))
+        full = [x for x in pending if len(x)]
+        out = np.zeros((len(pending), parts * 64), np.int64)
+        if full:
+            h, size = np.concatenate(full), np.array([len(x) for x in full])
+            at = np.flatnonzero([len(x) for x in pending])
+            for k in range(parts):
+                out[at, 64 * k : 64 * k + 64] = bit_counts(mixed(h, k), np.cumsum(size) - size)
+        ones.append(out)
+        total.extend(map(len, pending))
         pending.clear()
-        owner.clear()
-
-    for i, text in enumerate(texts):
-        hashes = shingle_hashes(text, size)
-        hashes = hashes if repeats else list(set(hashes))
-        total[i] = len(hashes)
-        for k in range(0, len(hashes), COUNT_BATCH):
-            part = hashes[k : k + COUNT_BATCH]
-            pending.extend(part)
-            owner.append((i, len(part)))
-            if len(pending) >= COUNT_BATCH:
-                flush()
+
+    for x in hashes:
+        pending.append(x)
+        held += len(x)
+        if held >= COUNT_BATCH:
+            flush()
+            held = 0
     flush()
-    set_bits = (2 * ones > total[:, None]).astype(np.uint8)
+    set_bits = 2 * np.concatenate(ones) > np.array(total, np.int64)[:, None]
     return np.packbits(set_bits, axis=1, bitorder="little").view("<u8")
 
 
-def fingerprint_table(docs: DataFrame, size: int, parts: int = 1, repeats: bool = True) -> DataFrame:
-    """Rows (doc_id, c, f0, ...): the fingerprint's class number and its 64-bit parts as signed longs."""
-    names = [f"f{k}" for k in range(parts)]
+def fingerprint_table(docs: DataFrame, size: int) -> DataFrame:
+    """Rows (doc_id, f0): the fingerprint as a signed long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            prints = fingerprints(x["text"].tolist(), size, parts, repeats)
-            found = prints.view(np.int64)
-            yield pd.DataFrame({"doc_id": x["doc_id"], "c": class_numbers(prints)} | {n: found[:, k] for k, n in enumerate(names)})
+            prints = fingerprints(shingle_hashes(t, size) for t in x["text"])
+            yield pd.DataFrame({"doc_id": x["doc_id"], "f0": prints[:, 0].view(np.int64)})
 
     # doc_id travels as a string: pandas has no whole numbers with nulls
     picked = docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string").cast("binary").alias("text"))
-    out = picked.mapInPandas(run, "doc_id string, c long, " + ", ".join(f"{n} long" for n in names))
+    out = picked.mapInPandas(run, "doc_id string, f0 long")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -183,8 +180,8 @@ class Forest:
         return a != b
 
 
-def near_pairs(prints: np.ndarray, groups: np.ndarray, max_bits: int) -> Iterator[tuple[int, int]]:
-    """Index pairs within max_bits that span the links of each run of equal groups."""
+def near_pairs(prints: np.ndarray, groups: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Index pairs of fingerprints within most bits that span the links of each run of equal groups."""
     edges = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1], [True])))
     size = np.diff(edges)
     small = np.repeat(size <= SMALL, size)
@@ -192,7 +189,7 @@ def near_pairs(prints: np.ndarray, groups: np.ndarray, max_bits: int) -> Iterato
         i = np.flatnonzero((groups[:-step] == groups[step:]) & small[:-step])
         if not len(i):
             break
-        i = i[np.bitwise_count(prints[i] ^ prints[i + step]).sum(axis=1, dtype=np.int64) <= max_bits]
+        i = i[np.bitwise_count(prints[i] ^ prints[i + step]) <= most]
         yield from zip(i.tolist(), (i + step).tolist(), strict=True)
     for k in np.flatnonzero(size > SMALL):  # a search that visits each member once
         left, ahead = np.arange(edges[k], edges[k + 1]), []
@@ -201,31 +198,27 @@ def near_pairs(prints: np.ndarray, groups: np.ndarray, max_bits: int) -> Iterato
                 i = ahead.pop()
             else:
                 i, left = int(left[0]), left[1:]
-            close = np.bitwise_count(prints[left] ^ prints[i]).sum(axis=1, dtype=np.int64) <= max_bits
-            for j in left[close].tolist():
-                yield i, j
+            close = np.bitwise_count(prints[left] ^ prints[i]) <= most
+            last = i
+            for j in left[close].tolist():  # a chain where it can be one, so that no member has all links
+                yield (last if int(prints[last] ^ prints[j]).bit_count() <= most else i), j
                 ahead.append(j)
+                last = j
             left = left[~close]
 
 
-def links(distinct: DataFrame, parts: int, max_bits: int, shifts: tuple[tuple[int, int], ...]) -> DataFrame:
-    """Edges (a, b) between class numbers of fingerprints within max_bits that share an anchor.
-
-    distinct: rows (f0, ...). shifts: (part, first bit) of each set of 46 anchor bits. Of one part and one set all
-    pairs within 3 bits are found. Farther ones are found if they share an anchor: of fingerprints that differ in
-    15 % of their bits 62 % do in one set, 86 % in one of two.
-    """
-    names = [f"f{k}" for k in range(parts)]
-    columns = ", ".join(f"{n} long" for n in names)
+def links(distinct: DataFrame) -> DataFrame:
+    """Edges (a, b) that span the links between fingerprints within MAX_BITS. distinct: rows (f0, ...)."""
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         golay = Golay()
+        mask = np.uint64((1 << BLOCK) - 1)
         for batch in batches:
             for k in range(0, len(batch), 4096):
-                x = batch.iloc[k : k + 4096]
-                for turn, (part, shift) in enumerate(shifts):
-                    at, anchor = covering_anchors(golay, x[names[part]].to_numpy(np.int64).view(np.uint64), shift)
-                    yield pd.DataFrame({"anchor": anchor | (turn << 2 * BLOCK)} | {n: x[n].to_numpy()[at] for n in names})
+                f = batch["f0"].to_numpy(np.int64)[k : k + 4096]
+                x = f.view(np.uint64)
+                at, anchor = covering_anchors(golay, (x & mask).astype(np.int64), ((x >> np.uint64(BLOCK)) & mask).astype(np.int64))
+                yield pd.DataFrame({"anchor": anchor, "f0": f[at]})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forest, held = Forest(), None
@@ -239,32 +232,18 @@ def links(distinct: DataFrame, parts: int, max_bits: int, shifts: tuple[tuple[in
             yield spanned(forest, held)
 
     def spanned(forest: Forest, x: pd.DataFrame) -> pd.DataFrame:
-        prints, out = np.stack([x[n].to_numpy(np.int64) for n in names], axis=1).view(np.uint64), []
-        c = class_numbers(prints)
-        for i, j in near_pairs(prints, x["anchor"].to_numpy(), max_bits):
-            a, b = int(c[i]), int(c[j])
+        f, out = x["f0"].to_numpy(np.int64), []
+        for i, j in near_pairs(f.view(np.uint64), x["anchor"].to_numpy(), MAX_BITS):
+            a, b = int(f[i]), int(f[j])
             if a != b and forest.join(a, b):
                 out.append((a, b))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    spread = distinct.select(*names).mapInPandas(replicate, f"anchor long, {columns}")
+    spread = distinct.select("f0").mapInPandas(replicate, "anchor long, f0 long")
     # an anchor's rows come to one task in order; only those of one anchor are held at once
     return spread.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(compare, "a long, b long")
 
 
-def with_components(table: DataFrame, parts: int, max_bits: int, shifts: tuple[tuple[int, int], ...]) -> DataFrame:
-    """Adds component_id to a fingerprint table: the smallest doc_id of all fingerprints that links reach."""
-    names = [f"f{k}" for k in range(parts)]
-    classes = materialize(table.groupBy("c", *names).agg(F.min("doc_id").alias("least")), "classes")
-    found = materialize(components(links(classes, parts, max_bits, shifts)), "components")
-    least = classes.groupBy(F.col("c").alias("node")).agg(F.min("least").alias("least"))
-    roots = found.join(least, "node").groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = found.join(roots, "root").select(F.col("node").alias("c"), "component_id")
-    # classes without links are their own components
-    named = least.withColumnRenamed("node", "c").join(linked, "c", "left").select("c", F.coalesce("component_id", "least").alias("component_id"))
-    return table.join(named, "c")
-
-
 def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     """Rows (doc_id, fingerprint, component_id): links at 3 or fewer differing bits of 64, closed transitively.
 
@@ -273,23 +252,36 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     repeated rows; an empty table gives none.
     """
     table = materialize(fingerprint_table(docs, size), "fingerprints")
+    classes = materialize(table.groupBy("f0").agg(F.min("doc_id").alias("least")), "classes")
+    found = materialize(components(links(classes)), "components")
+    # fingerprints without links are their own components
+    roots = classes.join(found.withColumnRenamed("node", "f0"), "f0", "left").select("f0", "least", F.coalesce("root", "f0").alias("root"))
+    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = roots.join(least, "root").select("f0", "component_id")
     hexed = F.lower(F.lpad(F.hex("f0"), 16, "0"))
-    return with_components(table, 1, MAX_BITS, ((0, 0),)).select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return table.join(named, "f0").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Rows (doc_id, component_id) by exact similarity of shingle sets; see minhash."""
-    from . import minhash
+    """Rows (doc_id, component_id): groups of texts whose sets of word shingles are similar, closed transitively; see similar.
+
+    component_id is the smallest doc_id of a group; null doc_ids never are it (null if there is no other). Null and
+    empty texts form one group.
+    """
+    from . import similar
 
-    return minhash.similar_groups(docs, size, similarity)
+    rows = materialize(similar.grouped(docs, size, similarity), "groups")
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "root").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near duplicates: of each group one row stays, that with the smallest doc_id, null ids last, and of rows
-    that share that id one. Null and empty texts form one group."""
-    from . import minhash
+    that share that id one. Null and empty texts form one group. docs may have any columns but _id, _k and _key."""
+    from . import similar
 
-    keep = minhash.representatives(docs, size, similarity).toDF("_id", "_k")
-    out = docs.withColumn("_key", minhash.text_key())
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k")
+    keep = similar.grouped(docs, size, similarity).groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("_id"), F.col("o.k").alias("_k"))
+    out = docs.withColumn("_key", similar.text_key())
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("_key").eqNullSafe(F.col("_k"))
     return out.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")

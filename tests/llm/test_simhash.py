@@ -36,8 +36,8 @@ def test_golay_code_is_perfect_and_anchors_are_complete():
             y = x
             for b in rng.choice(64, bits, replace=False):
                 y ^= 1 << int(b)
-            a = H.covering_anchors(golay, np.array([x], np.uint64), 0)[1]
-            b = H.covering_anchors(golay, np.array([y], np.uint64), 0)[1]
+            blocks = lambda z: (np.array([z & (2**23 - 1)]), np.array([z >> 23 & (2**23 - 1)]))
+            a, b = (H.covering_anchors(golay, *blocks(z))[1] for z in (x, y))
             assert len(set(a.tolist()) & set(b.tolist()))
             assert len(set(a.tolist())) == len(a)
 
@@ -68,13 +68,22 @@ def test_groups_and_fingerprints_against_brute_force(spark):
     assert sorted((r["doc_id"] or -1, r["fingerprint"], r["component_id"]) for r in got) == want
 
 
+def test_bit_counts_of_many_hashes():
+    rng = np.random.default_rng(2)
+    h = rng.integers(0, 2**63, 3000).astype(np.uint64)
+    begin = np.array([0, 1, 255, 256, 511, 1300])
+    got = H.bit_counts(h, begin)
+    for k, part in enumerate(np.split(h, begin[1:])):
+        assert got[k].tolist() == [int((part >> np.uint64(b) & np.uint64(1)).sum()) for b in range(64)]
+
+
 def test_search_in_large_groups():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 4, dtype=np.uint64)
-    prints = np.concatenate([base[:, None] ^ (np.uint64(1) << rng.integers(0, 63, (4, 60)).astype(np.uint64))]).reshape(-1, 1)
+    prints = np.concatenate([base[:, None] ^ (np.uint64(1) << rng.integers(0, 63, (4, 60)).astype(np.uint64))]).ravel()
     groups = np.zeros(len(prints), np.int64)
     pairs = list(H.near_pairs(prints, groups, 3))
-    every = [(i, j) for i in range(len(prints)) for j in range(i) if int(prints[i, 0] ^ prints[j, 0]).bit_count() <= 3]
+    every = [(i, j) for i in range(len(prints)) for j in range(i) if int(prints[i] ^ prints[j]).bit_count() <= 3]
     assert roots(len(prints), pairs) == roots(len(prints), every)
     assert len(pairs) < len(prints)
 
