@@ -200,8 +200,8 @@ def near_pairs(prints: np.ndarray, groups: np.ndarray, most: int) -> Iterator[tu
                 i, left = int(left[0]), left[1:]
             close = np.bitwise_count(prints[left] ^ prints[i]) <= most
             last = i
-            for j in left[close].tolist():  # a chain where it can be one, so that no member has all links
-                yield (last if int(prints[last] ^ prints[j]).bit_count() <= most else i), j
+            for n, j in enumerate(left[close].tolist()):  # short chains where they can be, so that no member has all links
+                yield (last if n % 32 and int(prints[last] ^ prints[j]).bit_count() <= most else i), j
                 ahead.append(j)
                 last = j
             left = left[~close]

@@ -28,8 +28,9 @@ from .simhash import BLOCK, SEED, Forest, Golay, covering_anchors, fingerprints,
 
 #: Sets of 46 bits, and 64-bit parts of a fingerprint: those for the sets, and one for the check.
 SETS, PARTS = 4, 4
-#: Check bits in which candidates may differ (10 are expected at 0.8, with a deviation of 3), and very close ones.
-MOST, CLOSE = 21, 4
+#: Check bits in which candidates may differ (9.7 are expected at 0.8, with a deviation of 2.9, so 99.9 % of such pairs
+#: pass, and 0.02 % of unrelated ones), and very close ones.
+MOST, CLOSE = 18, 12
 #: Anchors of a set are dealt over 2^bits buckets, of about so many entries, and sent for so many classes at once.
 LEAST_BITS, MOST_BITS, BUCKET, AT_ONCE = 10, 24, 1 << 19, 1 << 13
 ENTRY = np.dtype([("anchor", "<u4"), ("c", "<i8"), ("check", "<u8")])
@@ -196,6 +197,17 @@ def judged(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return joined.mapInPandas(run, f"{form}, same boolean")
 
 
+def spanning(links: DataFrame) -> DataFrame:
+    """Of the edges (a, b) those that join two trees of their task: no more than it has nodes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forest = Forest()
+        for x in batches:
+            yield x[[forest.join(a, b) for a, b in zip(x["a"].tolist(), x["b"].tolist(), strict=True)]]
+
+    return links.select("a", "b").mapInPandas(run, "a long, b long")
+
+
 def grouped(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """Rows (doc_id, k, root): the key of each row's text, and a number of its group."""
     rows = materialize(sketches(docs, size), "sketches")
@@ -204,7 +216,7 @@ def grouped(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     classes = materialize(classes.select("c", "o.doc_id", "o.k", "bits"), "classes")
     pairs = materialize(first_candidates(classes), "candidates")
     tried = materialize(judged(pairs, shingle_sets(docs, classes, pairs, size), similarity), "judged")
-    links = tried.where("same").select("a", "b")
+    links = materialize(spanning(tried.where("same")), "links")
 
     # trees of very close candidates that a refused link has broken
     trees = materialize(components(tried.where("close").select("a", "b")), "trees")
@@ -213,6 +225,6 @@ def grouped(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     roots = materialize(components(links), "roots").withColumnRenamed("node", "c")
     open_ = classes.join(broken, "c", "left_semi").join(roots, "c", "left").select("c", "bits", F.coalesce("root", "c").alias("root"))
     others = materialize(other_candidates(open_).join(pairs, ["a", "b"], "left_anti"), "others")
-    more = judged(others, shingle_sets(docs, classes, others, size), similarity).where("same").select("a", "b")
+    more = spanning(judged(others, shingle_sets(docs, classes, others, size), similarity).where("same"))
     roots = materialize(components(links.union(more)), "roots").withColumnRenamed("node", "c")
     return rows.select("doc_id", "k", "c").join(roots, "c", "left").select("doc_id", "k", F.coalesce("root", "c").alias("root"))
