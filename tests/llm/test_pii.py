@@ -1,7 +1,10 @@
 import hashlib
 import re
+import time
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from crossgrain.llm import pii as P
 
@@ -47,13 +50,14 @@ def test_base_spans(spark):
     for r in got:
         text = TEXTS[r["doc_id"]] if r["doc_id"] is not None else "a@b.cd"
         assert set(base(text or "")) <= set(r["spans"].split(",")) | {""}
-        order = [(P.KINDS.index(k), int(a), int(b)) for k, a, b in (s.split(":") for s in r["spans"].split(",") if s)]
+        order = [(P.ALL.index(k), int(a), int(b)) for k, a, b in (s.split(":") for s in r["spans"].split(",") if s)]
         assert order == sorted(order)
 
 
 @pytest.mark.parametrize("text,kind", [
     ("please call me on tel. (555) 234-9876 now", "phone"), ("e-mail me: ana.de [at] host [dot] com soon", "email"),
     ("credit card no 4111.1111.1111.1111 ok", "card"), ("login from 10[.]20[.]30[.]40 seen", "ip"),
+    ('the token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" goes on', "secret"), ("write to x at host [.] com please", "email"),
 ])
 def test_the_method_adds_what_the_rules_miss(spark, text, kind):
     assert not base(text)
@@ -62,7 +66,7 @@ def test_the_method_adds_what_the_rules_miss(spark, text, kind):
 
 
 def test_it_leaves_other_numbers_alone(spark):
-    rows = [(k, t) for k, t in enumerate(["order 1234 567 8901 came", "isbn 2001-123-456 is it", "version 10. 2. 3. 4", "meet at the door", "invoice #4111 1111 1111 111", "on 2024-123-4567 it"])]
+    rows = [(k, t) for k, t in enumerate(["order 1234 567 8901 came", "isbn 2001-123-456 is it", "version 10. 2. 3. 4", "meet at the door", "invoice #4111 1111 1111 111", "on 2024-123-4567 it", "see /docs/section/intro-12 or commit 04dbebab91ab85687d33eeaaf9ac699e1188f962"])]
     got = P.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [r["spans"] for r in got if r["spans"]] == []
 
@@ -72,6 +76,40 @@ def test_precision_on_examples_held_out(spark):
     assert len(trees) == P.TREES and all(s < float("inf") for s in least.values())
 
 
+def test_overlapping_proposals_compete(spark):
+    """The key is proposed as a string of letters and digits, and as what stands in quotes."""
+    text = 'api_key = "9fA3kd82LmQ04xZt77Qw" and tel. (555) 234-9876'
+    got = P.find_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    spans = [(P.ALL[x["k"]], text[x["s"] : x["e"]]) for x in got["added"]]
+    assert spans == [("phone", "(555) 234-9876"), ("secret", "9fA3kd82LmQ04xZt77Qw")]
+    for a in got["added"]:
+        assert not any(a != b and a["s"] < b["e"] and b["s"] < a["e"] for b in [*got["added"], *got["base"]])
+
+
+def test_held_out_examples_in_other_words(spark):
+    """Precision and recall on examples made with another seed, of which nothing was learned."""
+    trees, least = P.model(spark)
+    rows = P.examples(1200, seed=99)
+    df = spark.createDataFrame([(k, *x[:4]) for k, x in enumerate(rows)], "n int, kind string, t string, l string, r string")
+    x = np.array([r["f"] for r in df.select("n", F.array(*P.describe(F.col("kind"), F.col("t"), F.col("l"), F.col("r"))).alias("f")).orderBy("n").collect()])
+    score = sum(P.RATE * P.apply_tree(t, x) for t in trees)
+    for kind in P.ALL:
+        own = np.array([r[0] == kind for r in rows])
+        hit, y = score[own] >= least[kind], np.array([r[4] for r in rows])[own]
+        assert y[hit].mean() >= 0.95, kind
+        assert hit[y == 1].mean() >= 0.6, kind
+
+
+def test_very_long_texts_take_linear_time(spark):
+    texts = ["1.2 " + "1" * 300_000, "1.2.3.4 " * 50_000, "a@b.c " * 50_000, "+" + "1 " * 100_000]
+    began = time.time()
+    got = P.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["n_email"], r["n_ip"]) for r in got] == [(0, 0), (0, 50_000), (50_000, 0), (0, 0)]
+    assert time.time() - began < 60
+    spans = got[1]["spans"].split(",")
+    assert spans[:2] == ["ip:0:7", "ip:8:15"] and spans[-1] == f"ip:{8 * 49_999}:{8 * 50_000 - 1}"
+
+
 def test_redaction(spark):
     rows = [(1, "mail a@b.cd now", "en", 15), (2, None, "en", 0), (3, "none", "de", 4), (4, "4111111111111111", "en", 16), (4, "+1 (375) 555-4393, 8.8.8.8", "en", 26)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").selectExpr("*", "7 AS _row2", "8 AS base")
