@@ -11,6 +11,8 @@ from ..sources.session import with_package_path  # noqa: F401
 
 #: The white space of the word rule: space and the ASCII controls 9 to 13.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
+#: A word by that rule, without backtracking.
+WORD = r"[^\x20\x09-\x0D]++"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +20,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset a fresh one, on a single machine alone (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='crossgrain-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BREAK
+from .common import WORD, materialize
 
 REST = "other"
 AXES = ("source_stratum", "lang_stratum", "topic")
@@ -59,7 +59,7 @@ def strata(docs: DataFrame, targets: Targets, topic: Column | None = None) -> Da
     topic: a column of one's own in place of the form of the text.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    tokens = F.size(F.array_remove(F.split(text, WORD_BREAK), "")).cast("long")
+    tokens = F.regexp_count(text, F.lit(WORD)).cast("long")
     name = lambda c, known: F.when(c.isin(*known), c).otherwise(REST)
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text, F.lit(targets.seed))
     out = docs.withColumn("n_tokens", F.explode(F.array(tokens)))  # a generator, so that tokens are counted once
@@ -197,6 +197,7 @@ def calibrated(docs: DataFrame, targets: Targets | None = None, topic: Column |
     """
     targets = targets or Targets()
     named = strata(docs.select("doc_id", "text", "lang", "source"), targets, topic).drop("text", "lang", "source")
+    named = materialize(named, "strata")  # so that texts are read once
     cells = cell_table(named, targets)
     weight, chance = F.lit(0.0), F.lit(0.0)
     if cells:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bound of the labelled sample, and of the lines of each that are learned from.
-MAX_TRAIN, MAX_TRAIN_LINES = 4000, 400
+MAX_TRAIN = 4000
 STEPS, RATE, DECAY = 250, 0.08, 1e-4
 THRESHOLD = 0.7
 SYMBOLS, MARKS, UPPER, DIGITS = b"#*$%&<>", b"!?", bytes(range(65, 91)), b"0123456789"
@@ -44,11 +44,11 @@ def line_features(line: bytes) -> tuple:
     )
 
 
-def features(texts: list[bytes | None], most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features of all lines, their lengths, lines by document); a null or empty text is one empty line."""
     rows, lengths, counts = [], [], []
     for text in texts:
-        lines = (text or b"").split(b"\n")[:most]
+        lines = (text or b"").split(b"\n")
         rows.extend(map(line_features, lines))
         lengths.extend(map(len, lines))
         counts.append(len(lines))
@@ -108,9 +108,9 @@ class Chain:
     slope: float = 1.0
     base: float = 0.0
 
-    def raw(self, texts: list[bytes | None], most: int | None = None) -> np.ndarray:
+    def raw(self, texts: list[bytes | None]) -> np.ndarray:
         """Log-odds of the length-weighted mean marginal."""
-        x, length, count = features(texts, most)
+        x, length, count = features(texts)
         good, _ = marginals(x @ self.weights, count, self.pair)
         owner = np.repeat(np.arange(len(count)), count)
         weight = length + 1  # the line's end counts, so an empty text has a weight
@@ -128,7 +128,7 @@ def train(texts: list[bytes | None], labels: list[int]) -> Chain:
     if len(y) == 0 or y.min() == y.max():
         p = np.clip(y.mean() if len(y) else 0.5, 0.001, 0.999)
         return Chain(np.zeros(WIDTH), np.zeros((2, 2)), 0.0, float(np.log(p / (1 - p))))
-    x, _, count = features(texts, MAX_TRAIN_LINES)
+    x, _, count = features(texts)
     owner = np.repeat(np.arange(len(count)), count)
     line_y = y[owner]
     inner = np.flatnonzero(owner[1:] == owner[:-1])
@@ -142,7 +142,7 @@ def train(texts: list[bytes | None], labels: list[int]) -> Chain:
         mean, var = 0.9 * mean + 0.1 * slope, 0.99 * var + 0.01 * slope**2
         theta += RATE * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-8)
     chain = Chain(theta[:WIDTH], theta[WIDTH:].reshape(2, 2))
-    raw = chain.raw(texts, MAX_TRAIN_LINES)
+    raw = chain.raw(texts)
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton steps of the logistic fit
         p = 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> Chain:
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     )
     # the sample is bounded, so its side may be broadcast
-    rows = docs.select(F.col("doc_id").cast("long"), F.substring_index(F.col("text").cast("string"), "\n", MAX_TRAIN_LINES).cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
     sample = rows.join(F.broadcast(known), "doc_id").select("doc_id", "quality", "text")
     got = sample.dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     return train([bytes(r["text"]) if r["text"] is not None else None for r in got], [r["quality"] for r in got])

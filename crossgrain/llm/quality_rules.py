@@ -1,10 +1,10 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Measures per document are array expressions over its whole text. For each stratum (language) and rule, the
-cutoff is the strictest one for which labelled good documents prove that the rule rejects few of them: an exact
-(Clopper-Pearson) upper bound on the false rejection rate must stay under RISK. Strata and rules share the
-error level (Bonferroni); along one rule's cutoffs, from lenient to strict, testing stops at the first failure
-(fixed sequence), which needs no further correction.
+Measures per document are array expressions over its whole text. For each stratum (language) the rules' cutoffs are
+tightened one step after the other, in an order that is fixed beforehand, as long as labelled good documents prove that all
+rules together reject few of them: an exact (Clopper-Pearson) upper bound on the stratum's false rejection rate must stay under
+RISK. The strata share the error level (Bonferroni); along the steps testing stops at the first failure (fixed
+sequence), which needs no further correction.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import WORD_BREAK, materialize
 
 STRATA = ("en", "de", "fr", "es")
-#: Most that each rule may reject of a stratum's good documents, and the chance that any bound is wrong.
+#: Most that the rules may reject of a stratum's good documents, and the chance that any bound is wrong.
 RISK, ERROR = 0.01, 0.05
 #: Rules: share of symbols among word characters, of repeated lines, of words in repeated 8-word windows,
 #: and mean word length. Cutoffs from lenient to strict; a document above one is rejected.
@@ -104,24 +104,40 @@ def upper_bound(bad: int, n: int, level: float) -> float:
     return high
 
 
+def steps() -> list[tuple[str, float]]:
+    """(rule, cutoff) in the order in which they are tried: every rule's first cutoff, then every rule's second."""
+    longest = max(map(len, CUTOFFS.values()))
+    return [(rule, cuts[j]) for j in range(longest) for rule, cuts in CUTOFFS.items() if j < len(cuts)]
+
+
 def choose_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> dict[tuple[str, str], float]:
     """The cutoff for each (stratum, rule); a pair without proof has none and rejects nothing.
 
     The holdout is every labelled good document (a doc_id with several labels counts by its smallest). No
-    parameter of the rules is fitted to it but the cutoffs. What reaches the driver: one row per stratum.
+    parameter of the rules is fitted to it but the cutoffs. What reaches the driver: one row per stratum and step.
     """
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("_q")).where("_q = 1").select("doc_id")
-    names = [(rule, k, c) for rule, cuts in CUTOFFS.items() for k, c in enumerate(cuts)]
-    counts = with_rules(measured).where("n_words > 0").join(good, "doc_id", "left_semi").groupBy("stratum").agg(
-        F.count("*").alias("n"), *[F.count(F.when(F.col(rule) > c, 1)).alias(f"{rule}_{k}") for rule, k, c in names]
-    )
-    level, found = error / ((len(STRATA) + 1) * len(CUTOFFS)), {}
-    for row in counts.collect():  # at most one row per stratum
-        for rule, cuts in CUTOFFS.items():
-            for k, cut in enumerate(cuts):
-                if upper_bound(row[f"{rule}_{k}"], row["n"], level) > risk:
-                    break
-                found[row["stratum"], rule] = cut
+    order = steps()
+
+    def first(rule: str) -> Column:
+        """The first step at which this rule rejects a document."""
+        out = F.lit(len(order))
+        for k, cut in reversed([(k, cut) for k, (r, cut) in enumerate(order) if r == rule]):
+            out = F.when(F.col(rule) > cut, F.lit(k)).otherwise(out)
+        return out
+
+    rejected = with_rules(measured).where("n_words > 0").join(good, "doc_id", "left_semi").select("stratum", F.least(*map(first, CUTOFFS)).alias("first"))
+    counts: dict[str, list[int]] = {}
+    for row in rejected.groupBy("stratum", "first").agg(F.count("*").alias("n")).collect():
+        counts.setdefault(row["stratum"], [0] * (len(order) + 1))[row["first"]] = row["n"]
+    level, found = error / (len(STRATA) + 1), {}
+    for stratum, by_step in counts.items():
+        n, bad = sum(by_step), 0
+        for k, (rule, cut) in enumerate(order):
+            bad += by_step[k]
+            if upper_bound(bad, n, level) > risk:
+                break
+            found[stratum, rule] = cut
     return found
 
 

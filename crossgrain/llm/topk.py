@@ -76,7 +76,8 @@ class ApproximationFile:
         centre = queries.astype(np.float32) @ centres.T
         off = np.abs(queries) @ (self.width / 2)
         size = np.abs(queries) @ (np.maximum(np.abs(self.low), np.abs(self.low + self.width * 256)) + 1)
-        return centre, off + 1e-5 * size  # the second term covers rounding in single precision
+        # the second term covers rounding in single precision: a part in 2^24 at each of a product's sums
+        return centre, off + max(1e-5, (len(self.low) + 8) * 2.0**-23) * size
 
     def top(self, query: np.ndarray, own: np.ndarray, centre: np.ndarray, off: float, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(positions, scores) of the query's best k, by score and smaller id; rows in own take no part."""
@@ -120,13 +121,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = SCAL
     vectors: (vec_id, embedding). Components become floor(scale * x). Vectors that are null, or that hold
     null or non-finite components, and rows with a null id take no part. Candidates are all rows but those with
     the query's id. Fewer than k: all of them. Ties go to smaller ids. A shorter vector counts as padded with zeros.
+    A query id that occurs in several rows is asked once, with its smallest vector; repeated candidates count one by one.
     Scores beyond a long are given as the nearest long.
     """
     x = F.col("embedding").cast("array<double>")
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(x))
     rows = rows.select(F.col("vec_id").cast("long"), F.transform(x, lambda v: F.floor(v * F.lit(scale)).cast("double")).alias("v"), is_query.alias("_q"))
     blocks = pack_blocks(rows.select("vec_id", "v"), ROWS)
-    asked = pack_blocks(rows.where("_q").select("vec_id", "v").repartition(F.floor(F.col("vec_id") / F.lit(100 * QUERIES))), QUERIES)
+    single = rows.where("_q").groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = pack_blocks(single.repartition(F.floor(F.col("vec_id") / F.lit(100 * QUERIES))), QUERIES)
     # vector blocks are dealt out, and each block of queries goes to all parts: neither side has a bound
     tasks = max(8, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     blocks = blocks.withColumn("_k", F.pmod(F.xxhash64("ids"), F.lit(tasks)).cast("int"))
