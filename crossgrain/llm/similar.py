@@ -32,7 +32,7 @@ SETS, PARTS = 4, 4
 #: pass, and 0.02 % of unrelated ones), and very close ones.
 MOST, CLOSE = 18, 12
 #: Anchors of a set are dealt over 2^bits buckets, of about so many entries, and sent for so many classes at once.
-LEAST_BITS, MOST_BITS, BUCKET, AT_ONCE = 10, 24, 1 << 19, 1 << 13
+LEAST_BITS, MOST_BITS, BUCKET, AT_ONCE = 13, 24, 1 << 16, 1 << 12
 ENTRY = np.dtype([("anchor", "<u4"), ("c", "<i8"), ("check", "<u8")])
 
 
