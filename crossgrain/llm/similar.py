@@ -8,8 +8,9 @@ few enough check bits are candidates; a link is the exact Jaccard similarity of
 Texts of similarity s differ in a share arccos(2 s / (1 + s)) / pi of their bits, 15 % at 0.8: 63 % of such pairs share an
 anchor in one set, 98 % in one of four; at 0.85 99.6 %.
 
-So that a large group of near copies does not bring all its pairs, very close candidates first span a forest, and
-others are tested unless a tree has joined them. Trees in which a link was refused are searched again, all pairs.
+So that a large group of near copies does not bring all its pairs, links are sought in rounds. In each of the first ROUNDS a class is
+tested against two candidates of other groups: that with the smallest number, by an order of the round, to which most of a
+large group turn, and the closest one. The last round tests every pair of candidates that are still in different groups.
 """
 
 from __future__ import annotations
@@ -24,15 +25,19 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import components
-from .simhash import BLOCK, SEED, Forest, Golay, covering_anchors, fingerprints, near_pairs, shingle_set
+from .simhash import BLOCK, SEED, Forest, Golay, covering_anchors, fingerprints, mixed, shingle_set
 
 #: Sets of 46 bits, and 64-bit parts of a fingerprint: those for the sets, and one for the check.
 SETS, PARTS = 4, 4
 #: Check bits in which candidates may differ (9.7 are expected at 0.8, with a deviation of 2.9, so 99.9 % of such pairs
-#: pass, and 0.02 % of unrelated ones), and very close ones.
-MOST, CLOSE = 18, 12
+#: pass, and 0.02 % of unrelated ones).
+MOST = 18
+#: Rounds with two candidates for each class, and how many of a large group of one anchor are looked at for each of them.
+ROUNDS, LOOK = 2, 32
 #: Anchors of a set are dealt over 2^bits buckets, of about so many entries, and sent for so many classes at once.
 LEAST_BITS, MOST_BITS, BUCKET, AT_ONCE = 13, 24, 1 << 16, 1 << 12
+#: Entries of several buckets that are searched at once, at least.
+TOGETHER = 1 << 18
 ENTRY = np.dtype([("anchor", "<u4"), ("c", "<i8"), ("check", "<u8")])
 
 
@@ -63,7 +68,7 @@ def entries(golay: Golay, c: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int
     for turn in range(SETS):
         at, anchor = covering_anchors(golay, blocks[:, 2 * turn], blocks[:, 2 * turn + 1])
         out = np.empty(len(at), ENTRY)
-        out["anchor"], out["c"], out["check"] = anchor, c[at], bits[at, PARTS - 1]
+        out["anchor"], out["c"], out["check"] = anchor | (turn << 24), c[at], bits[at, PARTS - 1]
         yield turn, out
 
 
@@ -82,7 +87,7 @@ def dealt(classes: DataFrame, more: str | None = None) -> DataFrame:
                 root = dict(zip(c.tolist(), x[more].tolist(), strict=True)) if more else None
                 for turn, found in entries(golay, c, bits):
                     # anchors are dealt by their hash, so that neighbours part
-                    bucket = (found["anchor"] * np.uint32(2654435761)) >> np.uint32(32 - width)
+                    bucket = ((found["anchor"] & np.uint32(0xFFFFFF)) * np.uint32(2654435761)) >> np.uint32(32 - width)
                     order = np.argsort(bucket, kind="stable")
                     found, edges = found[order], np.searchsorted(bucket[order], np.arange((1 << width) + 1))
                     full = np.flatnonzero(np.diff(edges))
@@ -96,68 +101,102 @@ def dealt(classes: DataFrame, more: str | None = None) -> DataFrame:
 
 
 def by_bucket(found: DataFrame, f, form: str) -> DataFrame:
-    """f(forest, entries, numbers) of each bucket, whose entries come to one task and are held at once; the forest is the task's."""
+    """f(entries, roots) of whole buckets, as many as make TOGETHER entries, in the order of anchor and check. A root is a class's own
+    number where none came along."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forest, now, held = Forest(), None, []
+        now, held, size = None, [], 0
 
         def done() -> pd.DataFrame:
             x = np.frombuffer(b"".join(r[0] for r in held), ENTRY)
-            numbers = np.frombuffer(b"".join(r[1] for r in held), "<i8") if len(held[0]) > 1 else None
+            roots = np.frombuffer(b"".join(r[1] for r in held), "<i8") if len(held[0]) > 1 else x["c"]
             order = np.lexsort((x["c"], x["check"], x["anchor"]))
-            return f(forest, x[order], None if numbers is None else numbers[order])
+            return f(x[order], roots[order])
 
         for x in batches:
             for row in x.itertuples(index=False):
-                if row[0] != now and held:
+                if row[0] != now and size >= TOGETHER:
                     yield done()
-                    held = []
+                    held, size = [], 0
                 now = row[0]
                 held.append(row[1:])
+                size += len(row[1]) // ENTRY.itemsize
         if held:
             yield done()
 
     return found.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, form)
 
 
-def all_pairs(x: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of the same anchor within most check bits, in parts."""
-    step = 1
-    while step < len(x):
+def two_candidates(x: np.ndarray, root: np.ndarray, turn: int) -> pd.DataFrame:
+    """Rows (a, order, b, bits, near): for each entry with a candidate of another root the candidate that is first in the round's
+    order, and the closest. Of groups of one anchor beyond LOOK only the LOOK first ones and the LOOK next ones by check bits are
+    looked at; their members come with order null too, so that none is taken for done."""
+    n, c = len(x), x["c"]
+    rank = mixed(c.view(np.uint64), 20 + turn) >> np.uint64(1)
+    last = np.uint64(2**64 - 1)
+    first, first_c = np.full(n, last), np.zeros(n, np.int64)
+    near, near_c = np.full(n, 255, np.int64), np.zeros(n, np.int64)
+
+    def meet(i: np.ndarray, j: np.ndarray) -> None:
+        """Shows j to i; no i twice."""
+        d = np.bitwise_count(x["check"][i] ^ x["check"][j]).astype(np.int64)
+        ok = (d <= MOST) & (root[i] != root[j])
+        i, j, d = i[ok], j[ok], d[ok]
+        better = rank[j] < first[i]
+        first[i[better]], first_c[i[better]] = rank[j[better]], c[j[better]]
+        better = (d < near[i]) | ((d == near[i]) & (c[j] < near_c[i]))
+        near[i[better]], near_c[i[better]] = d[better], c[j[better]]
+
+    for step in range(1, min(LOOK, n - 1) + 1):
         i = np.flatnonzero(x["anchor"][:-step] == x["anchor"][step:])
         if not len(i):
-            return
-        i = i[np.bitwise_count(x["check"][i] ^ x["check"][i + step]) <= most]
-        yield i, i + step
-        step += 1
-
-
-def first_candidates(classes: DataFrame) -> DataFrame:
-    """Rows (a, b, close): very close candidates that span a forest, and all others that no tree of the task has joined."""
-
-    def run(forest: Forest, x: np.ndarray, _) -> pd.DataFrame:
-        out, c = [], x["c"].tolist()
-        for i, j in near_pairs(x["check"], x["anchor"], CLOSE):
-            if forest.join(c[i], c[j]):
-                out.append((c[i], c[j], True))
-        for i, j in all_pairs(x, MOST):
-            out += [(c[p], c[q], False) for p, q in zip(i.tolist(), j.tolist(), strict=True) if forest.find(c[p]) != forest.find(c[q])]
-        return pd.DataFrame(out, columns=["a", "b", "close"]).astype({"a": "int64", "b": "int64", "close": "bool"})
-
-    got = by_bucket(dealt(classes.select("c", "bits")), run, "a long, b long, close boolean")
-    ordered = got.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "close")
-    return ordered.groupBy("a", "b").agg(F.max("close").alias("close"))
-
-
-def other_candidates(classes: DataFrame) -> DataFrame:
+            break
+        meet(i, i + step)
+        meet(i + step, i)
+    edges = np.flatnonzero(np.concatenate(([True], x["anchor"][1:] != x["anchor"][:-1], [True])))
+    size = np.diff(edges)
+    large = np.flatnonzero(size > LOOK)
+    for k in large:
+        own = np.arange(edges[k], edges[k + 1])
+        for j in own[np.argpartition(rank[own], LOOK)[:LOOK]]:
+            meet(own, np.full(len(own), j))
+    at = np.flatnonzero(near < 255)
+    found = pd.DataFrame({"a": c[at], "order": first[at].view(np.int64), "b": first_c[at], "bits": near[at], "near": near_c[at]})
+    more = c[np.concatenate([np.arange(edges[k], edges[k + 1]) for k in large] or [np.zeros(0, np.int64)])]
+    return pd.concat([found.astype({"order": "Int64", "b": "Int64", "bits": "Int64", "near": "Int64"}), pd.DataFrame({"a": np.unique(more)})], ignore_index=True)
+
+
+def some_candidates(classes: DataFrame, turn: int) -> DataFrame:
+    """Rows (a, b, near): two candidates of each class (c, bits, root) that has any, null for others that may have some."""
+    form = "a long, order long, b long, bits long, near long"
+    got = by_bucket(dealt(classes, "root" if turn else None), lambda x, root: two_candidates(x, root, turn), form)
+    best = got.groupBy("a").agg(F.min(F.when(F.col("b").isNotNull(), F.struct("order", "b"))).alias("f"), F.min(F.when(F.col("b").isNotNull(), F.struct("bits", "near"))).alias("n"))
+    return best.select("a", F.col("f.b").alias("b"), F.col("n.near").alias("near"))
+
+
+def pairs_of(chosen: DataFrame) -> DataFrame:
+    """Rows (a, b) of some_candidates, each pair once."""
+    both = chosen.select("a", F.explode(F.array("b", "near")).alias("b")).where("b IS NOT NULL")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def all_candidates(classes: DataFrame) -> DataFrame:
     """Rows (a, b): all candidates of classes (c, bits, root) with different roots."""
 
-    def run(_, x: np.ndarray, root: np.ndarray) -> pd.DataFrame:
+    def run(x: np.ndarray, root: np.ndarray) -> pd.DataFrame:
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, j in all_pairs(x, MOST):
-            keep = root[i] != root[j]
-            a.append(x["c"][i[keep]])
-            b.append(x["c"][j[keep]])
+        edges = np.flatnonzero(np.concatenate(([True], x["anchor"][1:] != x["anchor"][:-1], [True])))
+        for k in np.flatnonzero(np.diff(edges) > 1):
+            own = np.arange(edges[k], edges[k + 1])
+            r = root[own]
+            if (r == r[0]).all():
+                continue
+            names, n = np.unique(r, return_counts=True)
+            # those outside the largest group, against all
+            for i in own[r != names[np.argmax(n)]]:
+                j = own[(root[own] != root[i]) & (np.bitwise_count(x["check"][own] ^ x["check"][i]) <= MOST)]
+                a.append(np.full(len(j), x["c"][i]))
+                b.append(x["c"][j])
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     got = by_bucket(dealt(classes, "root"), run, "a long, b long")
@@ -214,17 +253,28 @@ def grouped(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "k")  # null ids last
     classes = rows.groupBy("c").agg(F.min(order).alias("o"), F.first("bits").alias("bits"))
     classes = materialize(classes.select("c", "o.doc_id", "o.k", "bits"), "classes")
-    pairs = materialize(first_candidates(classes), "candidates")
-    tried = materialize(judged(pairs, shingle_sets(docs, classes, pairs, size), similarity), "judged")
-    links = materialize(spanning(tried.where("same")), "links")
-
-    # trees of very close candidates that a refused link has broken
-    trees = materialize(components(tried.where("close").select("a", "b")), "trees")
-    refused = tried.where("close AND NOT same").select(F.col("a").alias("node"))
-    broken = trees.join(trees.join(refused, "node", "left_semi").select("root").distinct(), "root", "left_semi").select(F.col("node").alias("c"))
-    roots = materialize(components(links), "roots").withColumnRenamed("node", "c")
-    open_ = classes.join(broken, "c", "left_semi").join(roots, "c", "left").select("c", "bits", F.coalesce("root", "c").alias("root"))
-    others = materialize(other_candidates(open_).join(pairs, ["a", "b"], "left_anti"), "others")
-    more = spanning(judged(others, shingle_sets(docs, classes, others, size), similarity).where("same"))
-    roots = materialize(components(links.union(more)), "roots").withColumnRenamed("node", "c")
+    links, tested, roots = None, None, None
+    active = classes.select("c", "bits", F.col("c").alias("root"))
+    for turn in range(ROUNDS + 1):
+        if turn < ROUNDS:
+            chosen = materialize(some_candidates(active, turn), "chosen")
+            if not chosen.head(1):
+                break
+            pairs = pairs_of(chosen)
+        else:
+            pairs = all_candidates(active)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        if not pairs.head(1):
+            continue
+        found = spanning(judged(pairs, shingle_sets(docs, classes, pairs, size), similarity).where("same"))
+        links = materialize(found if links is None else links.union(found), "links")
+        roots = materialize(components(links), "roots").withColumnRenamed("node", "c")
+        if turn < ROUNDS:
+            tested = pairs if tested is None else tested.union(pairs)
+            left = classes.join(chosen.select(F.col("a").alias("c")), "c", "left_semi").join(roots, "c", "left")
+            active = materialize(left.select("c", "bits", F.coalesce("root", "c").alias("root")), "active")
+    if roots is None:
+        return rows.select("doc_id", "k", F.col("c").alias("root"))
     return rows.select("doc_id", "k", "c").join(roots, "c", "left").select("doc_id", "k", F.coalesce("root", "c").alias("root"))

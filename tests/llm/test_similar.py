@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from crossgrain.llm import simhash
 from crossgrain.llm import similar as S
@@ -54,9 +55,10 @@ def test_recall_on_the_documents_against_brute_force(spark):
     assert all(want[d] == want[got[d]] for d in names)
 
 
-def test_a_refused_link_hides_no_other(spark, monkeypatch):
-    """Trees of very close candidates that are refused are searched again."""
-    monkeypatch.setattr(S, "CLOSE", 40)  # nearly all that share an anchor
+def test_refused_links_hide_no_other(spark, monkeypatch):
+    """Candidates that are closer or come first in their order, but are refused, don't keep a true link from being found."""
+    monkeypatch.setattr(S, "MOST", 40)  # nearly all that share an anchor are candidates
+    monkeypatch.setattr(S, "LOOK", 2)
     r = random.Random(2)
     words = [f"w{k}" for k in range(500)]
     rows = []
@@ -69,6 +71,27 @@ def test_a_refused_link_hides_no_other(spark, monkeypatch):
     assert got == {3 * k + i: 3 * k + (2 if i == 2 else 0) for k in range(40) for i in range(3)}
 
 
+def test_pairs_that_are_tested_grow_with_a_group_not_its_square(spark):
+    """Copies that differ from each other by about a fifth of their shingles."""
+    r = random.Random(9)
+    base = [f"w{r.randrange(900)}" for _ in range(300)]
+    rows = []
+    for k in range(200):
+        t = list(base)
+        for i in r.sample(range(300), 3):
+            t[i] = f"c{k}x{i}"
+        rows.append((k, " ".join(t)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    table = S.sketches(docs, 5).select("c", "bits", F.col("c").alias("root"))
+    assert S.pairs_of(S.some_candidates(table, 0)).count() <= 400
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(docs).collect()}
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
+    pairs = [(i, j) for i in range(200) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = roots(200, pairs)
+    assert len(pairs) > 2000
+    assert sum(got[k] == want[k] for k in range(200)) >= 198
+
+
 def test_null_and_repeated_ids_lose_no_text(spark):
     r = random.Random(8)
     text = lambda: " ".join(r.choice("abcdefghij") + str(r.randrange(10_000)) for _ in range(60))
