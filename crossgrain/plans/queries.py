@@ -233,8 +233,9 @@ def ic_decay(spark, sf_dir):
     return ic.decay(ic.ic_summary(series(spark, sf_dir, labels=LABELS), min_days=1))
 
 
-DAYS_SQL = """dx AS (SELECT date, avg(close) AS index_close, coalesce(CAST(sum(limit_up) AS BIGINT), 0) AS limit_ups FROM f GROUP BY date),
-dy AS (SELECT *, CASE WHEN count(index_close) OVER w = 20 THEN avg(index_close) OVER w END AS index_ma20 FROM dx WINDOW w AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))"""
+DAYS_SQL = """dw AS (SELECT date, sum(CAST(floor(close * 10000 + 0.5) AS BIGINT)) * 100 // nullif(count(close), 0) AS u, coalesce(CAST(sum(limit_up) AS BIGINT), 0) AS limit_ups FROM f GROUP BY date),
+dx AS (SELECT *, u / 1e6 AS index_close FROM dw),
+dy AS (SELECT *, CASE WHEN count(u) OVER w = 20 THEN (sum(u) OVER w // 20) / 1e6 END AS index_ma20 FROM dx WINDOW w AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))"""
 
 
 def days(df: DataFrame) -> DataFrame:

@@ -43,9 +43,15 @@ def bars_sql(period: str = "week") -> str:
 
 
 def index_series(panel: DataFrame) -> DataFrame:
-    """A day-level index: the mean close by date, and its mean over 20 rows. Bounded by the number of dates."""
+    """A day-level index: the mean close by date, and its mean over 20 rows. Bounded by the number of dates.
+
+    Closes count in whole units of 1e-4 and means in whole millionths, so that nothing depends on the order of the rows.
+    """
     from pyspark.sql import Window
 
     w = Window.orderBy("date").rowsBetween(-19, 0)
-    day = panel.groupBy("date").agg(F.avg("close").alias("index_close"))
-    return day.withColumn("index_ma20", F.when(F.count("index_close").over(w) == 20, F.avg("index_close").over(w)))
+    units = F.floor(F.col("close") * 10000 + 0.5)
+    day = panel.groupBy("date").agg(F.sum(units).alias("_s"), F.count("close").alias("_n"))
+    day = day.select("date", F.expr("_s * 100 div _n").alias("_u"))
+    mean = F.call_function("div", F.sum("_u").over(w), F.lit(20)) / 1e6
+    return day.select("date", (F.col("_u") / 1e6).alias("index_close"), F.when(F.count("_u").over(w) == 20, mean).alias("index_ma20"))

@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: The column that numbers appended batches, and more than there can be of them.
+BATCH, MOST_BATCHES = "_batch", 1 << 40
 WIDER = {"tinyint": "bigint", "smallint": "bigint", "int": "bigint", "float": "double"}
 
 
@@ -22,9 +24,16 @@ def widened(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast(WIDER.get(kind, kind)).alias(c) for c, kind in df.dtypes])
 
 
+def ordered(df: DataFrame, source: int = 0) -> DataFrame:
+    """df with source_ord in place of BATCH: grows by source, then by the batch that a row was appended with (none: the first)."""
+    batch = F.coalesce(F.col(BATCH).cast("long"), F.lit(0)) if BATCH in df.columns else F.lit(0)
+    return df.withColumn("source_ord", F.lit(source * MOST_BATCHES) + batch).drop(BATCH)
+
+
 def scan(spark: SparkSession, *paths: str, columns: Iterable[str] | None = None) -> DataFrame:
-    """One or more Parquet tables, widened, with missing columns as nulls; source_ord tells them apart (main first)."""
-    parts = [widened(spark.read.parquet(p)).withColumn("source_ord", F.lit(k)) for k, p in enumerate(paths)]
+    """One or more Parquet tables, widened, with missing columns as nulls; source_ord tells tables and appended batches apart, in
+    their order (main first)."""
+    parts = [ordered(widened(spark.read.option("mergeSchema", True).parquet(p)), k) for k, p in enumerate(paths)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
@@ -52,9 +61,18 @@ def conforming(batch: DataFrame, columns: list[str]) -> DataFrame:
     return batch.select(*columns)
 
 
-def append_delta(batch: DataFrame, path: str, keys: list[str]) -> None:
-    """Appends a batch as new files; readers settle repeated keys with keep_last over scan()."""
-    keep_last(batch.withColumn("source_ord", F.lit(0)), keys).drop("source_ord").write.mode("append").option("compression", "zstd").parquet(path)
+def append_delta(batch: DataFrame, path: str, keys: list[str]) -> int:
+    """Appends a batch as new files under the next batch number, which it returns; readers settle repeated keys with keep_last over
+    scan(). Of a key's rows in one batch the last one stays. One writer at a time."""
+    spark = batch.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    last = 0
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        stored = spark.read.option("mergeSchema", True).parquet(path)
+        last = (stored.agg(F.max(BATCH)).first()[0] if BATCH in stored.columns else None) or 0
+    own = keep_last(batch.withColumn("source_ord", F.monotonically_increasing_id()), keys).drop("source_ord")
+    own.withColumn(BATCH, F.lit(last + 1).cast("long")).write.mode("append").option("compression", "zstd").parquet(path)
+    return last + 1
 
 
 def not_done(calendar: DataFrame, stored: DataFrame, key: str = "date") -> DataFrame:
@@ -75,9 +93,8 @@ def replace_parquet(df: DataFrame, path: str) -> None:
 
 
 def compact(spark: SparkSession, parts: str, path: str, keys: list[str], files: int = 1) -> None:
-    """Merges part files into one table with one row per key."""
-    df = spark.read.parquet(parts).withColumn("source_ord", F.input_file_name())
-    keep_last(df, keys).drop("source_ord").repartition(files).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    """Merges appended batches into one table with one row per key, that of the last batch."""
+    keep_last(ordered(spark.read.option("mergeSchema", True).parquet(parts)), keys).drop("source_ord").repartition(files).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -102,15 +119,14 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def save_json(path: str | Path, doc: dict, backups: int = 3) -> dict:
-    """A small driver-side document: written aside, synced and swapped in; version grows; old ones are kept."""
+    """A small driver-side document: written aside, synced and swapped in; version grows. The last few versions stay beside it,
+    as name.v1.bak and so on."""
     path = Path(path)
-    old = load_json(path) if path.exists() else {}
-    doc = doc | {"version": int(old.get("version", 0)) + 1}
-    for k in range(backups - 1, 0, -1):
-        if (b := path.with_suffix(f".{k}.bak")).exists():
-            os.replace(b, path.with_suffix(f".{k + 1}.bak"))
-    if path.exists():
-        path.with_suffix(".1.bak").write_text(path.read_text())
+    had = int(load_json(path).get("version", 0)) if path.exists() else 0
+    doc = {**doc, "version": had + 1}
+    if had:
+        path.with_suffix(f".v{had}.bak").write_bytes(path.read_bytes())
+        path.with_suffix(f".v{had - backups}.bak").unlink(missing_ok=True)
     new = path.with_suffix(".tmp")
     with new.open("w") as f:
         json.dump(doc, f, ensure_ascii=False)

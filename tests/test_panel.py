@@ -127,7 +127,9 @@ def test_tables(spark, tmp_path):
     for k in range(5):
         tables.save_json(tmp_path / "doc.json", {"k": k, "schema_version": 2})
     assert tables.load_json(tmp_path / "doc.json", 2) == {"k": 4, "schema_version": 2, "version": 5}
-    assert json.loads((tmp_path / "doc.3.bak").read_text())["k"] == 1
+    kept = {x.name: json.loads(x.read_text())["k"] for x in tmp_path.glob("doc.v*.bak")}
+    last = json.loads((tmp_path / "doc.json").read_text())
+    assert kept == {f"doc.v{last['version'] - n}.bak": last["k"] - n for n in (1, 2, 3)}
     with pytest.raises(ValueError):
         tables.load_json(tmp_path / "doc.json", 3)
 
@@ -145,3 +147,20 @@ def test_stream_of_bars_runs_the_batch_factors(spark, tmp_path):
 def test_rounding(spark):
     df = rounded(spark.createDataFrame([(-1e-9, 1)], "a double, b int"))
     assert str(df.first()["a"]) == "0.0" and df.columns == ["a", "b"]
+
+
+def test_the_last_of_several_appends_stays(spark, tmp_path):
+    """Four batches with the same keys, and one key twice in a batch: read over both tables, and merged."""
+    main, delta, one = (str(tmp_path / n) for n in ("main", "delta", "one"))
+    schema = "date long, code string, v long"
+    spark.createDataFrame([(1, "a", -1), (9, "z", -9)], schema).write.parquet(main)
+    for k in range(4):
+        batch = spark.createDataFrame([(1, "a", 10 * k), (2, "b", k), (1, "a", 10 * k + 1)], schema).coalesce(1)
+        assert tables.append_delta(batch, delta, ["date", "code"]) == k + 1
+    want = {(1, "a"): 31, (2, "b"): 3}
+    both = tables.keep_last(tables.scan(spark, main, delta), ["date", "code"])
+    assert {(r["date"], r["code"]): r["v"] for r in both.collect()} == want | {(9, "z"): -9}
+    tables.compact(spark, delta, one, ["date", "code"])
+    merged = spark.read.parquet(one)
+    assert merged.columns == ["date", "code", "v"]
+    assert {(r["date"], r["code"]): r["v"] for r in merged.collect()} == want
