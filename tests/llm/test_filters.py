@@ -161,3 +161,25 @@ def test_bounds_and_cutoffs(spark):
     assert {x["failed_rule"] for x in got if x["doc_id"] >= 10_000} == {"symbol_share"}
     few = R.choose_cutoffs(R.measure(docs), labels.where("doc_id < 50"))
     assert few == {}  # too few to prove anything
+
+
+def test_rules_of_a_stratum_share_one_bound(spark):
+    """Two rules that would each reject under RISK of the good documents, but not together, are not both tightened."""
+    def row(k, symbols, word):
+        return (k, "en", 100, 100 * word, symbols, 1, 0, 0)
+
+    schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
+    n = 4000
+    rows = [row(k, 300 if k < 18 else 0, 15 if 18 <= k < 36 else 5) for k in range(n)]  # each in 0.45 % of the documents
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(n)], "doc_id long, quality int, toxic int")
+    found = R.choose_cutoffs(spark.createDataFrame(rows, schema), labels)
+    rejected = sum((r[4] / r[3] > found["en", "symbol_share"]) or (r[3] / 100 > found["en", "mean_word"]) for r in rows)
+    assert R.upper_bound(rejected, n, R.ERROR / (len(R.STRATA) + 1)) <= R.RISK
+    assert rejected < 36
+
+
+def test_a_repeated_query_is_asked_once(spark):
+    rows = [(100, [1.0, 0.0]), (100, [1.0, 0.0])] + [(k, [k / 20, 0.5]) for k in range(1, 16)] + [(3, [9.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = T.top_k(vectors, F.col("vec_id") % 100 == 0).orderBy("rank").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(100, k + 1, v) for k, v in enumerate([3, *range(15, 6, -1)])]
