@@ -10,7 +10,8 @@ anchor in one set, 98 % in one of four; at 0.85 99.6 %.
 
 So that a large group of near copies does not bring all its pairs, links are sought in rounds. In each of the first ROUNDS a class is
 tested against two candidates of other groups: that with the smallest number, by an order of the round, to which most of a
-large group turn, and the closest one. The last round tests every pair of candidates that are still in different groups.
+large group turn, and the closest one. The last round tests, of the classes that have candidates, every pair that is still in different
+groups and shares one of its rarest shingles, as all similar pairs do.
 """
 
 from __future__ import annotations
@@ -32,10 +33,14 @@ SETS, PARTS = 4, 4
 #: Check bits in which candidates may differ (9.7 are expected at 0.8, with a deviation of 2.9, so 99.9 % of such pairs
 #: pass, and 0.02 % of unrelated ones).
 MOST = 18
+#: The same for all bits, in the last round (39.4 are expected at 0.8, with a deviation of 5.8).
+MOST_OF_ALL = 58
 #: Rounds with two candidates for each class, and how many of a large group of one anchor are looked at for each of them.
 ROUNDS, LOOK = 2, 32
 #: Anchors of a set are dealt over 2^bits buckets, of about so many entries, and sent for so many classes at once.
 LEAST_BITS, MOST_BITS, BUCKET, AT_ONCE = 13, 24, 1 << 16, 1 << 12
+#: Shingles with more than this part of all rows are frequent: there are fewer than HOT of them.
+HOT = 1 << 16
 #: Entries of several buckets that are searched at once, at least.
 TOGETHER = 1 << 18
 ENTRY = np.dtype([("anchor", "<u4"), ("c", "<i8"), ("check", "<u8")])
@@ -180,32 +185,48 @@ def pairs_of(chosen: DataFrame) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def all_candidates(classes: DataFrame) -> DataFrame:
-    """Rows (a, b): all candidates of classes (c, bits, root) with different roots."""
-
-    def run(x: np.ndarray, root: np.ndarray) -> pd.DataFrame:
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        edges = np.flatnonzero(np.concatenate(([True], x["anchor"][1:] != x["anchor"][:-1], [True])))
-        for k in np.flatnonzero(np.diff(edges) > 1):
-            own = np.arange(edges[k], edges[k + 1])
-            r = root[own]
-            if (r == r[0]).all():
-                continue
-            names, n = np.unique(r, return_counts=True)
-            # those outside the largest group, against all
-            for i in own[r != names[np.argmax(n)]]:
-                j = own[(root[own] != root[i]) & (np.bitwise_count(x["check"][own] ^ x["check"][i]) <= MOST)]
-                a.append(np.full(len(j), x["c"][i]))
-                b.append(x["c"][j])
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    got = by_bucket(dealt(classes, "root"), run, "a long, b long")
-    return got.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def shingle_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """Rows (c, shingles): the sets of the classes in pairs, from one text of each."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+def rare_pairs(active: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Rows (a, b): of the classes (c, bits, root) those of different roots that can still be similar.
+
+    Two sets of this similarity share one of their rarest shingles: of n in order of frequency one of the first n - ceil(similarity n) + 1.
+    From there on both must have enough shingles left for the overlap. So texts of a large group that have too much of their own are not
+    compared with all of it. Frequent
+    shingles, of which there are fewer than HOT, are broadcast, so that no task gets all rows of one.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for a in range(0, len(x), 512):
+                y = x.iloc[a : a + 512]
+                held = [np.frombuffer(b, "<i8") for b in y["shingles"]]
+                if sum(map(len, held)):
+                    yield pd.DataFrame({k: np.repeat(y[k].to_numpy(np.int64), [len(h) for h in held]) for k in ("c", "root")} | {"h": np.concatenate(held)})
+
+    rows = sets.join(active.select("c", "root"), "c").mapInPandas(cut, "c long, root long, h long")
+    size = (F.length("shingles") / 8).cast("long")
+    total = sets.agg(F.sum(size)).first()[0] or 0
+    # what one group alone has is shared by no pair
+    shared = materialize(rows.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("h", "n"), "shared")
+    hot = F.broadcast(shared.where(F.col("n") > total / HOT))
+    rest = rows.join(hot.select("h"), "h", "left_anti").join(shared.where(F.col("n") <= total / HOT).hint("merge"), "h")
+    both = rows.join(hot, "h").select("c", "h", "n").union(rest.select("c", "h", "n"))
+    listed = both.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("l")).join(sets.select("c", size.alias("size")), "c")
+    # shingles of one group alone come first of all
+    take = F.size("l") + 1 - F.ceil(similarity * F.col("size") - 1e-9)
+    parts = [F.conv(F.hex(F.substring("bits", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"bits{k}_") for k in range(PARTS)]
+    rare = listed.where(take > 0).select("c", "size", F.size("l").alias("had"), F.posexplode(F.slice("l", F.lit(1), take.cast("int"))).alias("at", "s"))
+    rare = rare.select("c", "size", "s.h", (F.col("had") - F.col("at")).cast("long").alias("left"))
+    rare = materialize(rare.join(active.select("c", "root", *parts), "c"), "rare")
+    one, two = (rare.select("h", *[F.col(x).alias(x + k) for x in rare.columns if x != "h"]) for k in "12")
+    near = sum(F.bit_count(F.col(f"bits{k}_1").bitwiseXOR(F.col(f"bits{k}_2"))) for k in range(PARTS)) <= MOST_OF_ALL
+    # of the first shingle that two sets share on no more are shared than either has left
+    enough = F.least("left1", "left2") >= similarity / (1 + similarity) * (F.col("size1") + F.col("size2")) - 1e-9
+    met = one.join(two.hint("merge"), (one["h"] == two["h"]) & (F.col("c1") < F.col("c2")) & (F.col("root1") != F.col("root2")) & near & enough)
+    return met.select(F.col("c1").alias("a"), F.col("c2").alias("b")).distinct()
+
+
+def shingle_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """Rows (c, shingles): the sets of the wanted classes, from one text of each."""
     named = classes.join(wanted, "c", "left_semi").select("c", F.col("doc_id").alias("_id"), F.col("k").alias("_k"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("k"), F.col("text").cast("string").cast("binary").alias("text"))
     picked = texts.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("k") == F.col("_k"))).select("c", "text")
@@ -260,15 +281,18 @@ def grouped(docs: DataFrame, size: int, similarity: float) -> DataFrame:
             chosen = materialize(some_candidates(active, turn), "chosen")
             if not chosen.head(1):
                 break
-            pairs = pairs_of(chosen)
+            pairs, sets = pairs_of(chosen), None
         else:
-            pairs = all_candidates(active)
+            sets = shingle_sets(docs, classes, active, size)
+            pairs = rare_pairs(active, sets, similarity)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if not pairs.head(1):
             continue
-        found = spanning(judged(pairs, shingle_sets(docs, classes, pairs, size), similarity).where("same"))
+        if sets is None:
+            sets = shingle_sets(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), size)
+        found = spanning(judged(pairs, sets, similarity).where("same"))
         links = materialize(found if links is None else links.union(found), "links")
         roots = materialize(components(links), "roots").withColumnRenamed("node", "c")
         if turn < ROUNDS:
