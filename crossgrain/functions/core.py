@@ -56,8 +56,8 @@ def average_rank(x: str | Column, *by: str, ascending: bool = True) -> Column:
     """Rank from 1 with ties averaged, nulls left out, within by (the date)."""
     x, by = col(x), by or (DATE,)
     order = x.asc_nulls_last() if ascending else x.desc_nulls_last()
-    first = F.rank().over(Window.partitionBy(*by).orderBy(order))
-    ties = F.count(x).over(Window.partitionBy(*by, x))
+    w = Window.partitionBy(*by).orderBy(order)
+    first, ties = F.rank().over(w), F.count(x).over(w.rangeBetween(Window.currentRow, Window.currentRow))  # one sort for both
     return F.when(x.isNotNull(), first + (ties - 1) / 2)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import finite
+from ..plans import dsl
 from . import ic
 from .ic import Limits
 
@@ -33,8 +34,8 @@ def coverage(df: DataFrame, names: list[str]) -> DataFrame:
     return day.groupBy("name").agg(F.median(F.col("n").cast("double")).alias("median_names"), (F.sum("n") / F.sum("rows")).alias("coverage"))
 
 
-def main_gate(df: DataFrame, names: list[str], label: str, limits: Limits = Limits()) -> DataFrame:
-    """(name, ic_mean, icir, days, t_nw, median_names, coverage, ic_tradable, gap, ok)."""
+def main_gate(df: DataFrame, names: list[str], label: str, limits: Limits = Limits(), signs: dict[str, int] | None = None) -> DataFrame:
+    """(name, ic_mean, icir, days, t_nw, median_names, coverage, ic_tradable, gap, ok). signs: 1 or -1 for candidates that declared one."""
     series = ic.ic_series(df, names, [label])
     whole = ic.ic_summary(series, min_days=limits.min_days).drop("horizon", "ic_pos_pct")
     t = ic.newey_west(series).select("name", "t_nw")
@@ -45,6 +46,8 @@ def main_gate(df: DataFrame, names: list[str], label: str, limits: Limits = Limi
         (F.abs("t_nw") >= limits.min_t) & (F.col("median_names") >= limits.min_names)
         & (F.col("coverage") >= limits.min_coverage) & (F.coalesce(F.col("gap"), F.lit(0.0)) <= limits.max_gap)
     )
+    for name, sign in (signs or {}).items():
+        ok = ok & ((F.col("name") != name) | (F.col("ic_mean") * sign > 0))
     return out.withColumn("gap", gap).withColumn("ok", ok.cast("int"))
 
 
@@ -87,19 +90,35 @@ def full_exam(df: DataFrame, name: str, limits: Limits = Limits()) -> dict:
         series.unpersist()
 
 
-def funnel(design: DataFrame, holdout: DataFrame, names: list[str], label: str = "fwd_5d", limits: Limits = Limits(), known: set[str] | None = None) -> list[dict]:
-    """Runs a batch through all gates in order of cost. known: hashes of rejected ideas (see plans.dsl)."""
+def static_gate(text: str, columns: list[str] | None = None, known: set[str] | None = None) -> str | None:
+    """Why an expression is not worth a test: what the language doesn't allow, or an idea that was rejected before. known: skeleton hashes."""
+    try:
+        dsl.compile_expression(text, columns)
+    except dsl.Rejected as e:
+        return str(e)
+    return "rejected before" if dsl.skeleton_hash(text) in (known or set()) else None
+
+
+def funnel(
+    design: DataFrame, holdout: DataFrame, names: list[str], label: str = "fwd_5d", limits: Limits = Limits(),
+    known: set[str] | None = None, expressions: dict[str, str] | None = None, signs: dict[str, int] | None = None,
+) -> list[dict]:
+    """Runs a batch through all gates in order of cost. expressions: the candidates' texts, for the static gate, whose reason is given as
+    ``why``; known: skeleton hashes of rejected ideas (see plans.dsl); signs: see main_gate."""
     out = {n: {"name": n, "gate": "accepted"} for n in names}
-    left = [n for n in names if n not in (known or set())]
-    for n in set(names) - set(left):
-        out[n]["gate"] = "static"
+    for n, text in (expressions or {}).items():
+        if n in out and (why := static_gate(text, design.columns, known)):
+            out[n] |= {"gate": "static", "why": why}
+    left = [n for n in names if out[n]["gate"] == "accepted"]
+    if not left:
+        return list(out.values())
     sampled = sample_gate(design, left, label)
     for n in left:
         out[n] |= {"sample_icir": sampled[n]["icir"], "open": sampled[n]["open"]}
         if not sampled[n]["ok"]:
             out[n]["gate"] = "sample"
     left = [n for n in left if sampled[n]["ok"]]
-    main = {r["name"]: r.asDict() for r in main_gate(design, left, label, limits).collect()} if left else {}
+    main = {r["name"]: r.asDict() for r in main_gate(design, left, label, limits, signs).collect()} if left else {}
     for n in left:
         out[n] |= main.get(n, {})
         if not main.get(n, {}).get("ok"):

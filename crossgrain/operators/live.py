@@ -87,28 +87,19 @@ def upsert_log(log: DataFrame, new: DataFrame, key: str = "date") -> DataFrame:
 def weights(pool: list[dict]) -> dict[str, float]:
     """Weights by |ICIR| over its median x 0.05, at most 0.10 (0.04 if short-lived or of unknown life), at least 0.02.
 
-    The tradable-domain figure counts where there is one. Sums above 0.5 are scaled down; what falls under its floor
-    (0.02, short-lived 0.015) goes and the rest is scaled again.
+    The tradable-domain figure counts where there is one. A pool of more than 0.5 in all is scaled to 0.5, and what falls under its floor
+    (0.02, short-lived 0.015) goes.
     """
-    def size(p: dict) -> float:
-        v = p.get("icir_tradable")
-        return abs(v if v is not None else p.get("icir") or 0.0)
-
     if not pool:
         return {}
-    mid = max(median(map(size, pool)), 1e-6)
-    brief = {p["name"] for p in pool if p.get("short_lived")}
-    out = {}
-    for p in pool:
-        w = min(0.05 * size(p) / mid, 0.10)
-        out[p["name"]] = min(w, 0.04) if p.get("short_lived") or p.get("half_life_unknown") else max(w, 0.02)
-    while (total := sum(out.values())) > 0.5:
-        out = {k: w * 0.5 / total for k, w in out.items()}
-        kept = {k: w for k, w in out.items() if w >= (0.015 if k in brief else 0.02)}
-        if len(kept) == len(out):
-            break
-        out = kept
-    return {k: round(w, 4) for k, w in out.items()}
+    strength = [abs(next((v for v in (p.get("icir_tradable"), p.get("icir")) if v is not None), 0.0)) for p in pool]
+    unit = 0.05 / max(median(strength), 1e-6)
+    bounds = [(0.0, 0.04) if p.get("short_lived") or p.get("half_life_unknown") else (0.02, 0.10) for p in pool]
+    raw = [max(low, min(unit * v, high)) for v, (low, high) in zip(strength, bounds, strict=True)]
+    scale = 0.5 / sum(raw) if sum(raw) > 0.5 else None
+    if scale is None:
+        return {p["name"]: round(w, 4) for p, w in zip(pool, raw, strict=True)}
+    return {p["name"]: round(w * scale, 4) for p, w in zip(pool, raw, strict=True) if w * scale >= (0.015 if p.get("short_lived") else 0.02)}
 
 
 def threshold(n: int) -> float:
@@ -124,10 +115,42 @@ def portfolio_decision(gain_train: float, gain_valid: float, trades_valid: int,
     return "enabled" if gain_valid >= least else "rejected: validation"
 
 
-def pool_health(active: int, target: int, mean_life: float | None, confirmed: int, distinct: float) -> float:
-    """0 to 100: size and life count 30 each, confirmation and diversity 20 each."""
-    life = min((mean_life or 0.0) / 12.0, 1.0)
-    return round(30 * min(active / max(target, 1), 1) + 30 * life + 20 * min(confirmed / max(active, 1), 1) + 20 * max(0.0, min(distinct, 1.0)), 1)
+def pool_health(pool: list[dict], deviation_pct: float | None = None) -> float:
+    """0 to 100: ten enabled factors and a mean half-life of 12 months count 30 each, a mean |ICIR| of 0.3 20, and the last live
+    deviation 20 within 50 % (or unknown), else 10. An empty pool has 100.
+
+    pool: dicts with enabled, icir, icir_tradable and half_life (None where unknown; none known counts nothing).
+    """
+    if not pool:
+        return 100.0
+    lives = [p["half_life"] for p in pool if p.get("half_life") is not None]
+    icir = [abs(next((v for v in (p.get("icir_tradable"), p.get("icir")) if v is not None), 0.0)) for p in pool]
+    reached = ((sum(bool(p.get("enabled")) for p in pool) / 10, 30), (sum(lives) / len(lives) / 12 if lives else 0.0, 30), (sum(icir) / len(icir) / 0.3, 20))
+    return round(sum(min(share, 1.0) * points for share, points in reached) + (20 if abs(deviation_pct or 0.0) <= 50 else 10), 1)
+
+
+def live_evaluation(trades: DataFrame, factors: DataFrame) -> DataFrame:
+    """(factor, n, bad_rows, shared, realized_pct, deviation_pct, ln_lr, state): live trades against what was expected of their factors.
+
+    trades: factors (names joined by bars) and ret, a fraction, as a number or text; what is no number counts in bad_rows. factors: factor,
+    expected_pct, brief (5 trades suffice, else 10) and degraded (0 is expected). The deviation is in percent of the expectation, or of
+    2 points where that is less. Confirmed and rejected need both the sequential test and a deviation within, or beyond, 50 %.
+    """
+    t = trades.select(F.array_distinct(F.transform(F.split(F.coalesce("factors", F.lit("")), r"\|"), lambda x: F.trim(x))).alias("f"), (F.col("ret").try_cast("double") * 100).alias("r"))
+    t = t.withColumn("f", F.filter("f", lambda x: x != "")).select(F.explode("f").alias("factor"), (F.size("f") > 1).cast("int").alias("s"), "r")
+    g = t.groupBy("factor").agg(
+        F.count("r").alias("n"), F.count(F.when(F.col("r").isNull(), 1)).alias("bad_rows"), F.sum("s").cast("long").alias("shared"),
+        F.avg("r").alias("realized_pct"), F.when(F.count("r") > 1, F.greatest(F.stddev_pop("r"), F.lit(0.01))).otherwise(0.02).alias("_sd"),
+    ).join(factors, "factor")
+    g = g.withColumn("_mu", F.when(F.col("degraded"), 0.0).otherwise(F.coalesce("expected_pct", F.lit(0.0))))
+    enough = F.col("n") >= F.when(F.col("brief"), 5).otherwise(10)
+    g = g.withColumns({
+        "ln_lr": F.when(enough, F.col("n") * (2 * F.col("realized_pct") * F.col("_mu") - F.col("_mu") * F.col("_mu")) / (2 * F.col("_sd") * F.col("_sd"))),
+        "deviation_pct": F.when(enough, (F.col("realized_pct") - F.col("_mu")) / F.greatest(F.abs("_mu"), F.lit(2.0)) * 100),
+    })
+    near = F.abs("deviation_pct") <= 50
+    state = F.when((F.col("ln_lr") >= LINE) & near, "confirmed").when((F.col("ln_lr") <= -LINE) & ~near, "rejected").otherwise("open")
+    return g.select("factor", "n", "bad_rows", "shared", "realized_pct", "deviation_pct", "ln_lr", state.alias("state"))
 
 
 def gate_audit(log: DataFrame, least: int = 20) -> DataFrame:

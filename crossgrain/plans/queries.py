@@ -465,6 +465,20 @@ def sequential_test(spark, sf_dir):
     return rounded(live.sprt(t, 0.005, 0.02, "factor").withColumn("ln_lr", F.round("ln_lr", 4)))
 
 
+#: (factor, expected_pct, brief, degraded)
+EXPECTED = [("odd", 0.2, False, False), ("even", 3.0, True, False), ("click", -0.5, False, False), ("view", 1.0, False, True)]
+
+
+@query(lambda: f"""WITH {TRADES_SQL}, e(factor, mu, least) AS (VALUES {', '.join(f"('{f}', {0.0 if d else m}, {5 if b else 10})" for f, m, b, d in EXPECTED)}),
+x AS (SELECT unnest(string_split(factors, '|')) AS factor, CASE WHEN abs(ret) < 0.049 THEN ret * 100 END AS r FROM tr),
+g AS (SELECT factor, count(r) AS n, count(*) - count(r) AS bad_rows, count(*) AS shared, avg(r) AS m, greatest(stddev_pop(r), 0.01) AS sd FROM x GROUP BY factor),
+y AS (SELECT g.*, CASE WHEN n >= least THEN (m - mu) / greatest(abs(mu), 2) * 100 END AS d, CASE WHEN n >= least THEN n * (2 * m * mu - mu * mu) / (2 * sd * sd) END AS l FROM g JOIN e USING (factor))
+SELECT factor, n, bad_rows, shared, {o.q('m', 'realized_pct')}, {o.q('d', 'deviation_pct')}, {o.q('l', 'ln_lr')}, CASE WHEN l >= ln(19) AND abs(d) <= 50 THEN 'confirmed' WHEN l <= -ln(19) AND abs(d) > 50 THEN 'rejected' ELSE 'open' END AS state FROM y""")
+def live_evaluation(spark, sf_dir):
+    t = trades(spark, sf_dir).withColumn("ret", F.when(F.abs("ret") < 0.049, F.col("ret").cast("string")).otherwise("n/a"))
+    return live.live_evaluation(t, spark.createDataFrame(EXPECTED, "factor string, expected_pct double, brief boolean, degraded boolean"))
+
+
 @query(lambda: with_f(f"""SELECT date, code, {', '.join(o.q(f'r{n}', f'ret_{n}') for n in (1, 3, 5, 10))} FROM (SELECT date, code, turn_ratio, {', '.join(f"{o.lag('close', -n)} / close - 1 AS r{n}" for n in (1, 3, 5, 10))}, {o.rank('turn_ratio', 'date', down=True)} AS k FROM f {o.windows()}) WHERE k <= 3"""))
 def picks_follow_up(spark, sf_dir):
     df = featured(spark, sf_dir)
@@ -579,7 +593,7 @@ def html_cells(spark, sf_dir):
 EXPRESSIONS = {
     "e_reversal": "-col('ret_5d') * col('turn_ma5')",
     "e_smooth": "col('ret_5d').rolling_mean(5, min_samples=3).over('code')",
-    "e_zscore": dsl.templates("close", 20)["zscore"],
+    "e_zscore": dsl.form("zscore", "close", 20),
     "e_rank": "(col('close') / col('close').shift(5).over('code') - 1).rank().over('date')",
 }
 

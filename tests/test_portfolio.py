@@ -3,7 +3,8 @@ import datetime as dt
 import pandas as pd
 import pytest
 
-from crossgrain.operators import live, portfolio as P
+from crossgrain.operators import gates, live, portfolio as P
+from crossgrain.plans import dsl
 
 DAY = dt.date(2024, 1, 1)
 
@@ -87,3 +88,18 @@ def test_ledger():
         with pytest.raises(ValueError):
             book.add(*bad, "2024-01-02")
     assert book.sell("a", 11.0, "2024-01-05")["pnl_pct"] == pytest.approx(0.1) and not book.positions
+
+
+def test_pool_health():
+    assert live.pool_health([]) == 100.0
+    pool = [{"enabled": k < 2, "icir": 0.15, "half_life": 6 if k else None} for k in range(4)]
+    assert live.pool_health(pool) == 30 * 0.2 + 30 * 0.5 + 20 * 0.5 + 20
+    assert live.pool_health(pool, -51.0) == live.pool_health(pool) - 10
+    assert live.pool_health([{"enabled": True, "half_life": None}]) == 3.0 + 20
+
+
+def test_static_gate():
+    text = "col('close').rolling_mean(5).over('code')"
+    assert gates.static_gate(text, ["close"]) is None
+    assert gates.static_gate("col('fwd_5d')", ["close", "fwd_5d"])
+    assert gates.static_gate(text.replace("5", "20"), ["close"], {dsl.skeleton_hash(text)}) == "rejected before"
