@@ -35,6 +35,8 @@ SETS, PARTS = 4, 4
 MOST = 18
 #: The same for all bits, in the last round (39.4 are expected at 0.8, with a deviation of 5.8).
 MOST_OF_ALL = 58
+#: Rarer shingles of a set that go along with each, so that a pair is made once.
+EARLIER = 16
 #: Rounds with two candidates for each class, and how many of a large group of one anchor are looked at for each of them.
 ROUNDS, LOOK = 2, 32
 #: Anchors of a set are dealt over 2^bits buckets, of about so many entries, and sent for so many classes at once.
@@ -214,14 +216,17 @@ def rare_pairs(active: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     # shingles of one group alone come first of all
     take = F.size("l") + 1 - F.ceil(similarity * F.col("size") - 1e-9)
     parts = [F.conv(F.hex(F.substring("bits", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"bits{k}_") for k in range(PARTS)]
-    rare = listed.where(take > 0).select("c", "size", F.size("l").alias("had"), F.posexplode(F.slice("l", F.lit(1), take.cast("int"))).alias("at", "s"))
-    rare = rare.select("c", "size", "s.h", (F.col("had") - F.col("at")).cast("long").alias("left"))
+    rare = listed.where(take > 0).select("c", "size", "l", F.posexplode(F.slice("l", F.lit(1), take.cast("int"))).alias("at", "s"))
+    first = F.greatest(F.col("at") + 1 - EARLIER, F.lit(1))
+    earlier = F.slice("l", first, F.col("at") + 1 - first)["h"]
+    rare = rare.select("c", "size", "s.h", (F.size("l") - F.col("at")).cast("long").alias("left"), earlier.alias("earlier"))
     rare = materialize(rare.join(active.select("c", "root", *parts), "c"), "rare")
     one, two = (rare.select("h", *[F.col(x).alias(x + k) for x in rare.columns if x != "h"]) for k in "12")
     near = sum(F.bit_count(F.col(f"bits{k}_1").bitwiseXOR(F.col(f"bits{k}_2"))) for k in range(PARTS)) <= MOST_OF_ALL
-    # of the first shingle that two sets share on no more are shared than either has left
+    # from the first shingle that two sets share on, no more are shared than either has left; pairs are made there (later, and so more
+    # than once, only if they share one more than EARLIER places before)
     enough = F.least("left1", "left2") >= similarity / (1 + similarity) * (F.col("size1") + F.col("size2")) - 1e-9
-    met = one.join(two.hint("merge"), (one["h"] == two["h"]) & (F.col("c1") < F.col("c2")) & (F.col("root1") != F.col("root2")) & near & enough)
+    met = one.join(two.hint("merge"), (one["h"] == two["h"]) & (F.col("c1") < F.col("c2")) & (F.col("root1") != F.col("root2")) & near & enough & ~F.arrays_overlap("earlier1", "earlier2"))
     return met.select(F.col("c1").alias("a"), F.col("c2").alias("b")).distinct()
 
 

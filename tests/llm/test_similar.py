@@ -117,3 +117,28 @@ def test_a_large_group_of_near_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     kept = sorted(x["doc_id"] for x in simhash.one_of_each(docs).collect())
     assert kept == [0, *range(1000, 1050)]
+
+
+def test_rarest_shingles_lose_no_similar_pair(spark):
+    """A large group around 0.65 to 0.9 of each other, with shingles that all have: brute force over the sets."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 140, dtype=np.int64)
+    sets = []
+    for _ in range(260):
+        keep = base[rng.random(len(base)) > rng.uniform(0, 0.2)]
+        sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2**63, len(base) - len(keep), dtype=np.int64)])).astype(np.uint64))
+    roots = [k - k % 2 if k < 40 else k for k in range(len(sets))]
+    bits = [r.tobytes() for r in S.fingerprints(sets, S.PARTS)]
+    active = spark.createDataFrame([(k, bits[k], roots[k]) for k in range(len(sets))], "c long, bits binary, root long")
+    made = spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(sets)], "c long, shingles binary")
+    got = {(r["a"], r["b"]) for r in S.rare_pairs(active, made, 0.8).collect()}
+    want, every = set(), 0
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            every += roots[a] != roots[b]
+            if roots[a] != roots[b] and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                want.add((a, b))
+    assert len(want) > 500 and len(want & got) >= 0.995 * len(want) and len(got) < every / 2
+    empty = spark.createDataFrame([], active.schema), spark.createDataFrame([], made.schema)
+    assert S.rare_pairs(*empty, 0.8).count() == 0
