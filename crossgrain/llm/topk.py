@@ -1,13 +1,13 @@
 """Exact top-k by inner product with vector-approximation files.
 
-Vectors are packed into blocks. For a block a vector-approximation file is made: every component is quantised
+Vectors come in blocks. For a block a vector-approximation file is made: every component is quantised
 to a cell of 2^BITS equal ones of its dimension's range, and kept as one byte. For a query, a cell's centre and
-half width bound the inner product from above and below. The k-th largest lower bound discards vectors; the
-others' exact vectors are read in the order of their upper bounds until the k-th result so far is at least
-the next upper bound, so the result is exact.
+half width bound the inner product from above and below. The k-th largest lower bound, or the k-th result so far,
+discards vectors; the others' exact products are taken, so the result is exact.
 
-Queries come in blocks too. Every block of queries is sent to every block of vectors (a stated query set
-against all rows, in blocks); each meeting returns k rows a query, and the best k of those are kept.
+Vectors are dealt over tasks, each once for every GROUP queries, and every query goes to all tasks. A task holds the queries
+of one group, streams its vectors past them in small batches, and returns the best k rows that it met for each query; the
+best k of those are kept. So no row, batch or task grows with the tables.
 """
 
 from __future__ import annotations
@@ -15,48 +15,47 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS = 6
-#: Vectors and queries in a block.
-ROWS, QUERIES = 8192, 512
+#: Vectors in a block, queries that meet it at once, and queries that a task holds.
+ROWS, QUERIES, GROUP = 8192, 512, 1 << 18
+#: Exact products that are taken at once.
+PRODUCTS = 1 << 16
 SCALE = 1024.0
-#: Products of whole numbers below this sum exactly in doubles.
-EXACT = 2.0**53
+#: Products of whole numbers below this sum exactly in doubles, and below that in 64-bit integers.
+EXACT, WHOLE = 2.0**53, 2.0**62
+#: Components above this are beyond bounds in single precision; all their products are taken.
+LARGE = 1e15
 LONG = 2**63 - 1
+#: The score and id of places that are not taken yet.
+NO_SCORE, NO_ID = -LONG - 1, LONG
 
 
-def pack_blocks(df: DataFrame, rows: int) -> DataFrame:
-    """Rows (block, ids, dims, data): up to rows vectors in a block, as little-endian bytes.
+def matrix(small: pa.Array, large: pa.Array) -> np.ndarray:
+    """The vectors as rows; each is in one of the columns, and null in the other. Shorter ones are padded with zeros, which add
+    nothing to a product."""
+    n = len(small)
+    sizes, values = [], []
+    for part in (small, large):
+        sizes.append(part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        values.append(part.flatten().to_numpy(zero_copy_only=False))
+    width = int(max(sizes[0].max(initial=0), sizes[1].max(initial=0)))
+    out = np.zeros((n, width), np.float64 if len(values[1]) else np.int16)
+    for size, v in zip(sizes, values, strict=True):
+        out[np.arange(width)[None] < size[:, None]] = v
+    return out
 
-    df: (vec_id, v), v an array of doubles that are whole. Blocks are cut task by task, without a shuffle.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            for k in range(0, len(x), rows):
-                part = x.iloc[k : k + rows]
-                vectors = [np.asarray(v, "<f8") for v in part["v"]]
-                yield pd.DataFrame(
-                    {
-                        "ids": [part["vec_id"].to_numpy("<i8").tobytes()],
-                        "dims": [np.array([len(v) for v in vectors], "<i4").tobytes()],
-                        "data": [np.concatenate(vectors).tobytes() if vectors else b""],
-                    }
-                )
 
-    return df.mapInPandas(run, "ids binary, dims binary, data binary")
+def padded(m: np.ndarray, width: int) -> np.ndarray:
+    return m if m.shape[1] >= width else np.pad(m, ((0, 0), (0, width - m.shape[1])))
 
 
-def unpack(ids: bytes, dims: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, matrix); shorter vectors are padded with zeros, which add nothing to a product."""
-    n = np.frombuffer(dims, "<i4").astype(np.int64)
-    width = int(n.max()) if len(n) else 0
-    m = np.zeros((len(n), width))
-    m[np.arange(width)[None] < n[:, None]] = np.frombuffer(data, "<f8")
-    return np.frombuffer(ids, "<i8"), m
+def joined(parts: list[np.ndarray]) -> np.ndarray:
+    width = max(m.shape[1] for m in parts)
+    return np.concatenate([padded(m, width) for m in parts])
 
 
 class ApproximationFile:
@@ -109,6 +108,82 @@ def exact_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.array([sum(int(a) * int(b) for a, b in zip(v, query, strict=True)) for v in vectors], dtype=object)
 
 
+def pair_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of the rows of a with those of b, whole numbers, as the nearest longs."""
+    most = float(np.abs(a.astype(np.float64)).max(initial=0)) * float(np.abs(b.astype(np.float64)).max(initial=0)) * max(1, a.shape[1])
+    if most < WHOLE:
+        return np.einsum("ij,ij->i", a.astype(np.int64), b.astype(np.int64))
+    whole = (sum(int(x) * int(y) for x, y in zip(v, w, strict=True)) for v, w in zip(a, b, strict=True))
+    return np.array([max(-LONG, min(LONG, s)) for s in whole], np.int64)
+
+
+class Best:
+    """The best k rows so far of each query, by score and smaller id."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.queries, self.k = ids[order], queries[order], k
+        self.scores = np.full((len(ids), k), NO_SCORE, np.int64)
+        self.found = np.full((len(ids), k), NO_ID, np.int64)
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Takes in a block of vectors."""
+        width = max(self.queries.shape[1], vectors.shape[1])
+        self.queries, vectors = padded(self.queries, width), padded(vectors, width)
+        real = vectors.astype(np.float64)
+        file = ApproximationFile(real)
+        large = np.abs(real).max(initial=0) > LARGE
+        place = np.searchsorted(self.ids, ids)
+        own = np.flatnonzero(self.ids[np.minimum(place, len(self.ids) - 1)] == ids)
+        for a in range(0, len(self.ids), QUERIES):
+            b = min(a + QUERIES, len(self.ids))
+            queries = self.queries[a:b].astype(np.float64)
+            if large or np.abs(queries).max(initial=0) > LARGE:
+                centre, off = np.zeros((b - a, len(ids)), np.float32), np.full(b - a, np.inf)
+            else:
+                centre, off = file.bounds(queries)
+            mine = own[(place[own] >= a) & (place[own] < b)]
+            centre[place[mine] - a, mine] = -np.inf
+            least = self.least(centre, off, a, b)
+            near = np.nextafter((least - off).astype(np.float32), np.float32(-np.inf))[:, None]
+            q, v = np.nonzero((centre >= near) & (centre > -np.inf))
+            for c in range(0, len(q), PRODUCTS):
+                some, at = q[c : c + PRODUCTS] + a, v[c : c + PRODUCTS]
+                self.add(some, ids[at], pair_products(self.queries[some], vectors[at]))
+
+    def least(self, centre: np.ndarray, off: np.ndarray, a: int, b: int) -> np.ndarray:
+        """What a score must reach: the k-th so far, or the k-th largest lower bound here, of queries a to b."""
+        kth = self.scores[a:b, -1]
+        out = np.where(kth == NO_SCORE, -np.inf, np.nextafter(kth.astype(np.float64), -np.inf))
+        open_ = np.flatnonzero(kth == NO_SCORE)
+        n = centre.shape[1]
+        if len(open_) and n >= self.k:
+            low = np.partition(centre[open_], n - self.k, axis=1)[:, n - self.k]
+            out[open_] = np.where(np.isfinite(off[open_]), low - off[open_], -np.inf)
+        return out
+
+    def add(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Rows (query's place, id, score) that may be among the best; q is in order."""
+        k = self.k
+        better = (scores > self.scores[q, -1]) | ((scores == self.scores[q, -1]) & (ids < self.found[q, -1]))
+        q, ids, scores = q[better], ids[better], scores[better]
+        if not len(q):
+            return
+        which = np.unique(q)
+        q = np.concatenate((q, np.repeat(which, k)))
+        ids, scores = np.concatenate((ids, self.found[which].ravel())), np.concatenate((scores, self.scores[which].ravel()))
+        order = np.lexsort((ids, ~scores, q))  # ~ turns the order of longs round without overflow
+        first = np.searchsorted(q[order], which)
+        take = order[first[:, None] + np.arange(k)]
+        self.scores[which], self.found[which] = scores[take], ids[take]
+
+    def rows(self, step: int = 1 << 13) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(self.ids), step):
+            taken = self.scores[a : a + step] != NO_SCORE
+            q = np.repeat(self.ids[a : a + step], taken.sum(axis=1))
+            yield pa.record_batch([pa.array(q), pa.array(self.found[a : a + step][taken]), pa.array(self.scores[a : a + step][taken])], names=["query_id", "vec_id", "score"])
+
+
 def usable(x: Column) -> Column:
     """True for vectors that are not null and hold finite numbers alone."""
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
@@ -124,39 +199,50 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = SCAL
     A query id that occurs in several rows is asked once, with its smallest vector; repeated candidates count one by one.
     Scores beyond a long are given as the nearest long.
     """
+    spark = vectors.sparkSession
     x = F.col("embedding").cast("array<double>")
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(x))
     rows = rows.select(F.col("vec_id").cast("long"), F.transform(x, lambda v: F.floor(v * F.lit(scale)).cast("double")).alias("v"), is_query.alias("_q"))
-    blocks = pack_blocks(rows.select("vec_id", "v"), ROWS)
     single = rows.where("_q").groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = pack_blocks(single.repartition(F.floor(F.col("vec_id") / F.lit(100 * QUERIES))), QUERIES)
-    # vector blocks are dealt out, and each block of queries goes to all parts: neither side has a bound
-    tasks = max(8, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    blocks = blocks.withColumn("_k", F.pmod(F.xxhash64("ids"), F.lit(tasks)).cast("int"))
-    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "dims", "data")], F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("_k"))
-
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, file, ids = None, None, None
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                if row.ids != last:
-                    last = row.ids
-                    ids, matrix = unpack(row.ids, row.dims, row.data)
-                    file = ApproximationFile(matrix) if len(ids) else None
-                q_ids, queries = unpack(row.q_ids, row.q_dims, row.q_data)
-                if file is None or not len(q_ids):
-                    continue
-                width = max(queries.shape[1], file.vectors.shape[1])
-                if file.vectors.shape[1] < width:
-                    file = ApproximationFile(np.pad(file.vectors, ((0, 0), (0, width - file.vectors.shape[1]))))
-                queries = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
-                centre, off = file.bounds(queries)
-                out = []
-                for i, q in enumerate(q_ids.tolist()):
-                    at, score = file.top(queries[i], ids == q, centre[i], off[i], ids, k)
-                    out.extend((q, v, max(-LONG, min(LONG, int(s)))) for v, s in zip(ids[at].tolist(), score.tolist(), strict=True))
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
+    groups = max(1, -(-rows.where("_q").select("vec_id").distinct().count() // GROUP))
+    tasks = max(8, 3 * spark.sparkContext.defaultParallelism)
+    # a row goes to one task of each group, a query to all tasks of one group
+    task, group = F.pmod(F.xxhash64("vec_id", "v"), F.lit(tasks)).cast("int"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")
+    fits = F.forall("v", lambda v: F.abs(v) < 2**15)
+    data = ["vec_id", F.when(fits, F.col("v").cast("array<smallint>")).alias("small"), F.when(~fits, F.col("v")).alias("large")]
+    asked = single.select(*data, F.explode(F.sequence(group * tasks, group * tasks + (tasks - 1))).alias("_k"), F.lit(False).alias("met"))
+    met = rows.select(*data, F.explode(F.sequence(task, task + (groups - 1) * tasks, F.lit(tasks))).alias("_k"), F.lit(True).alias("met"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, parts, n, best = [], [], 0, None
+
+        def taken() -> tuple[np.ndarray, np.ndarray]:
+            nonlocal n
+            out = np.concatenate(ids), joined(parts)
+            ids.clear(), parts.clear()
+            n = 0
+            return out
 
-    met = blocks.join(asked, "_k").select("ids", "dims", "data", "q_ids", "q_dims", "q_data").mapInPandas(meet, "query_id long, vec_id long, score long")
+        for batch in batches:
+            split = batch.num_rows - batch["met"].true_count  # queries come first
+            for part in (batch.slice(0, split), batch.slice(split)):
+                if part.num_rows and best is None and ids and part["met"][0].as_py():
+                    best = Best(*taken(), k)
+                if best is None and part.num_rows and part["met"][0].as_py():
+                    continue  # no queries
+                for a in range(0, part.num_rows, ROWS):
+                    some = part.slice(a, ROWS)
+                    ids.append(some["vec_id"].to_numpy(zero_copy_only=False))
+                    parts.append(matrix(some["small"], some["large"]))
+                    n += some.num_rows
+                    if best is not None and n >= ROWS:
+                        best.meet(*taken())
+        if best is not None:
+            if ids:
+                best.meet(*taken())
+            yield from best.rows()
+
+    dealt = asked.unionByName(met).repartitionById(tasks * groups, F.col("_k")).sortWithinPartitions("met").select("vec_id", "small", "large", "met")
+    found = dealt.mapInArrow(meet, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -183,3 +183,29 @@ def test_a_repeated_query_is_asked_once(spark):
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = T.top_k(vectors, F.col("vec_id") % 100 == 0).orderBy("rank").collect()
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(100, k + 1, v) for k, v in enumerate([3, *range(15, 6, -1)])]
+
+
+def test_queries_in_groups_meet_streamed_blocks(spark, monkeypatch):
+    monkeypatch.setattr(T, "GROUP", 4)
+    monkeypatch.setattr(T, "ROWS", 50)
+    monkeypatch.setattr(T, "QUERIES", 3)
+    r = np.random.default_rng(4)
+    v = np.round(r.normal(size=(2500, 8)), 1).astype(np.float32)
+    v[7::5] = v[7]  # a common vector
+    v[3] = 1e18  # products beyond bounds in single precision and beyond a long
+    rows = [(k, [float(x) for x in a]) for k, a in enumerate(v)]
+    out = T.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5), F.col("vec_id") % 100 == 0)
+    assert "binary" not in out._jdf.queryExecution().optimizedPlan().toString()  # no row holds a block
+    got = sorted(tuple(x) for x in out.collect())
+    whole = np.array([[int(np.floor(float(x) * 1024)) for x in a] for a in v], dtype=object)
+    want = []
+    for q in range(0, 2500, 100):
+        score = [max(-T.LONG, min(T.LONG, int(s))) for s in whole @ whole[q]]
+        best = sorted((-s, k) for k, s in enumerate(score) if k != q)[:10]
+        want += [(q, i, k, -s) for i, (s, k) in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
+def test_all_rows_are_read_without_queries(spark):
+    vectors = spark.range(1, 90).selectExpr("id AS vec_id", "array(1.0, 2.0) AS embedding")
+    assert T.top_k(vectors, F.col("vec_id") % 100 == 0).count() == 0
