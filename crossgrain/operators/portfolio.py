@@ -26,6 +26,10 @@ BASE_SCORE = (
 )
 
 
+#: Rows that may be bought.
+BUYABLE = "is_suspended = 0 AND limit_up = 0 AND limit_down = 0 AND price_pos_20 > 0.1 AND price_pos_20 < 0.85 AND close > ma_20"
+
+
 @dataclass(frozen=True)
 class Rules:
     """One configuration of the simulator; percentages are fractions, prices are in panel units."""
@@ -51,11 +55,10 @@ class Rules:
 
 def composite(df: DataFrame, parts=BASE_SCORE) -> DataFrame:
     """Adds score: the weighted sum of average ranks of the parts within the date; null parts count as 0."""
-    df = df.withColumns({f"_{name}": F.expr(e).cast("double") for name, e, _ in parts})
-    score = F.lit(0.0)
-    for name, _, weight in parts:
-        score = score + F.coalesce(average_rank(f"_{name}"), F.lit(0.0)) * weight
-    return df.withColumn("score", score).drop(*[f"_{name}" for name, _, _ in parts])
+    df = df.withColumns({f"_{name}": F.expr(e).cast("double") for name, e, _ in parts}).withColumn("score", F.lit(0.0))
+    for name, _, weight in parts:  # one at a time, so that rows are sorted with the parts still to come alone
+        df = df.withColumn("score", F.col("score") + F.coalesce(average_rank(f"_{name}"), F.lit(0.0)) * weight).drop(f"_{name}")
+    return df
 
 
 def candidates(df: DataFrame, trend: bool = True) -> DataFrame:
@@ -191,15 +194,21 @@ class Book:
         self.held.clear()
 
 
-def replay(rows: pd.DataFrame, rules: Rules) -> list[tuple]:
-    """Trades of one configuration. rows: date, code, close, ret_1d, ma_20, ma_60, score, buyable, market_open."""
+def replay(rows: pd.DataFrame, rules: Rules, days: list[tuple] | None = None) -> list[tuple]:
+    """Trades of one configuration. rows: date, code, close, ret_1d, ma_20, ma_60, score, buyable, market_open.
+
+    days: (date, market_open) of all dates in order, where rows don't have them all.
+    """
     book, day, by_code, number = Book(rules), None, {}, -1
     rows = rows.sort_values(["date", "score", "code"], ascending=[True, False, True])
-    for number, (day, x) in enumerate(rows.groupby("date", sort=True)):
-        items = list(x.itertuples(index=False))
+    by_day = {day: list(x.itertuples(index=False)) for day, x in rows.groupby("date", sort=True)}
+    if days is None:
+        days = [(day, items[0].market_open) for day, items in by_day.items()]
+    for number, (day, market_open) in enumerate(days):
+        items = by_day.pop(day, [])
         by_code = {str(r.code): r for r in items}
         book.exits(day, by_code, number)
-        if rules.gate and not items[0].market_open:
+        if rules.gate and not market_open:
             continue
         book.buys(day, [r for r in items if r.buyable and r.score == r.score], number)
     if day is not None:
@@ -207,23 +216,48 @@ def replay(rows: pd.DataFrame, rules: Rules) -> list[tuple]:
     return book.trades
 
 
-def simulate(df: DataFrame, configs: list[Rules]) -> DataFrame:
+def reachable(rules: Rules) -> int:
+    """How many of a date's buyable rows, by score, a configuration may look at: its top, behind all that it may hold before it buys."""
+    return max(0, rules.top + max(0, rules.slots - 1))
+
+
+def simulate(df: DataFrame, configs: list[Rules], days: DataFrame | None = None, scored: DataFrame | None = None) -> DataFrame:
     """Trades of all configurations, numbered by their place in the list.
 
-    df: a panel with close, ret_1d, ma_20, ma_60, score, market_open and the candidates' columns. Each configuration reads the whole
-    panel in one task, which its path demands; configurations spread over the cluster.
+    df: a panel with close, ret_1d, ma_20, ma_60, score, market_open and the candidates' columns (or buyable in place of those).
+    days: (date, market_open) of all its dates, if it has no market_open. scored: (date, code, buyable, score), if it has no score. A configuration buys among the first rows of a date that are buyable, and
+    then looks at those codes alone, so its task reads these codes' rows and the dates: at most dates x reachable() codes, however many
+    the panel has. Its path demands one task; configurations spread over the cluster.
     """
     spark: SparkSession = df.sparkSession
-    ok = F.expr("is_suspended = 0 AND limit_up = 0 AND limit_down = 0 AND price_pos_20 > 0.1 AND price_pos_20 < 0.85 AND close > ma_20")
-    rows = df.select("date", F.col("code").cast("string"), "close", "ret_1d", "ma_20", "ma_60", "score", F.coalesce(ok, F.lit(False)).alias("buyable"), "market_open")
+    if "buyable" not in df.columns:
+        df = df.withColumn("buyable", F.coalesce(F.expr(BUYABLE), F.lit(False)))
+    df = df.withColumn("code", F.col("code").cast("string")).where("date IS NOT NULL")
+    scored = df if scored is None else scored.withColumn("code", F.col("code").cast("string")).where("date IS NOT NULL")
+    if days is None:
+        days = df.groupBy("date").agg(F.max("market_open").alias("market_open"))
+    most = max((reachable(c) for c in configs), default=0)
+    first = Window.partitionBy("date").orderBy(F.col("score").desc(), F.col("code").asc_nulls_last())
+    picked = scored.where("buyable AND score IS NOT NULL AND NOT isnan(score)").select("date", "code", "score")
+    picked = picked.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most)
+    picked = picked.groupBy("code", "date").agg(F.max("score").alias("score")).groupBy(F.col("code").alias("_code"))
+    picked = picked.agg(F.map_from_entries(F.collect_list(F.struct("date", "score"))).alias("_scores"))
+    rows = df.select("date", "code", "close", "ret_1d", "ma_20", "ma_60", "buyable")
+    rows = rows.join(F.broadcast(picked), F.col("code").eqNullSafe(F.col("_code")))  # at most dates x most scores in all
+    rows = rows.withColumn("score", F.try_element_at("_scores", "date").cast("double")).withColumn("buyable", F.col("buyable") & F.col("score").isNotNull())
+    rows = rows.drop("_code", "_scores").withColumn("market_open", F.lit(None).cast("boolean"))
+    every = rows.withColumn("_day", F.lit(False)).unionByName(days.select("date", F.col("market_open").cast("boolean"), F.lit(True).alias("_day")), allowMissingColumns=True)
     table = spark.createDataFrame([(k, *asdict(c).values()) for k, c in enumerate(configs)], ["config", *[f.name for f in fields(Rules)]])
     known = {k: c for k, c in enumerate(configs)}
 
     def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         names = [c.split()[0] for c in TRADE.split(", ")]
-        return pd.DataFrame([(key[0], *t) for t in replay(x, known[key[0]])], columns=names)
+        of_days = x["_day"].astype(bool)
+        dates = x[of_days].sort_values("date")
+        trades = replay(x[~of_days].drop(columns="_day"), known[key[0]], list(zip(dates["date"], dates["market_open"].astype(bool), strict=True)))
+        return pd.DataFrame([(key[0], *t) for t in trades], columns=names)
 
-    every = rows.crossJoin(F.broadcast(table.select("config")))  # a row per configuration
+    every = every.crossJoin(F.broadcast(table.select("config")))  # a row per configuration
     return every.groupBy("config").applyInPandas(run, TRADE)
 
 

@@ -426,9 +426,11 @@ def hold_n_trades(spark, sf_dir):
 def simulated(spark, sf_dir) -> DataFrame:
     df = factors.macd(featured(spark, sf_dir))
     day = portfolio.market_gate(days(df), 20).select("date", F.col("open").alias("market_open"))
-    df = portfolio.composite(df).join(F.broadcast(day), "date")  # a row per date
+    df = df.withColumn("buyable", F.coalesce(F.expr(portfolio.BUYABLE), F.lit(False)))
+    parts = bars.parts(table(spark, sf_dir, "lineitem"))
+    scored = portfolio.composite(df.repartition(parts, "date")).select("date", "code", "buyable", "score")
     rules = portfolio.Rules(capital=2e6, position=5e5, min_cash=1e5)
-    return portfolio.simulate(df, portfolio.grid(rules, gate=[True, False], hold=[0, 5], top=[3, 5]))
+    return portfolio.simulate(df, portfolio.grid(rules, gate=[True, False], hold=[0, 5], top=[3, 5]), day, scored)
 
 
 @query()

@@ -103,3 +103,24 @@ def test_static_gate():
     assert gates.static_gate(text, ["close"]) is None
     assert gates.static_gate("col('fwd_5d')", ["close", "fwd_5d"])
     assert gates.static_gate(text.replace("5", "20"), ["close"], {dsl.skeleton_hash(text)}) == "rejected before"
+
+
+def test_rows_in_reach_give_the_trades_of_the_whole_panel(spark):
+    """Ties, codes that are never in reach, dates without buyable rows, gated dates; fewer rows reach a configuration than the panel has."""
+    import numpy as np
+
+    r, rows = np.random.default_rng(5), []
+    for k in range(40):
+        closes = np.round(10 * np.cumprod(1 + r.normal(0, 0.03, 30)), 2)
+        for x in path([None if r.random() < 0.1 else float(c) for c in closes], score=float(r.integers(0, 6)) - (20 if k > 15 else 0), code=f"c{k}", buyable=set(range(30)) - {4, 5, 6}):
+            rows.append(x | {"score": x["score"] + float(r.integers(0, 3)), "market_open": (x["date"] - DAY).days % 7 != 3})
+    whole = pd.DataFrame(rows)
+    configs = P.grid(P.Rules(capital=9000.0), gate=[True, False], hold=[0, 3], strict_slots=[True, False], slots=[2, 4])
+    want = sorted((k, *t[:3], *t[-2:]) for k, c in enumerate(configs) for t in P.replay(whole, c))
+    df = spark.createDataFrame(rows)
+    days = df.select("date", "market_open").distinct()
+    for got in (P.simulate(df, configs), P.simulate(df.drop("market_open", "score"), configs, days, df.select("date", "code", "buyable", "score"))):
+        trades = got.collect()
+        assert sorted((t["config"], t["code"], t["buy_date"], t["buy_price"], t["reason"], t["held_days"]) for t in trades) == want
+    bought = {t["code"] for t in trades}
+    assert len(bought) < 30 and P.reachable(configs[-1]) == 6
