@@ -611,8 +611,8 @@ def dsl_expressions(spark, sf_dir):
 
 @query()
 def beam_search(spark, sf_dir):
-    df = featured(spark, sf_dir).persist()
-    best = dsl.beam_search(df, ["close", "turn_ratio"], "fwd_5d", width=5, params=(5,), min_days=50)
+    df = featured(spark, sf_dir).select("date", "code", "close", "turn_ratio", "fwd_5d").persist()  # lies by code, in order of date
+    best = dsl.beam_search(df, ["close", "turn_ratio"], "fwd_5d", width=5, params=(5,), min_days=50, parts=bars.parts(table(spark, sf_dir, "lineitem")))
     df.unpersist()
     return spark.createDataFrame([(k, r["expr"], r["icir"]) for k, r in enumerate(best, 1)], "place int, expr string, icir double")
 
