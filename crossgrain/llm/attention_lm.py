@@ -6,8 +6,7 @@ pass through masked attention together. The output is factored: attention predic
 ids are classes of their own, the others are clustered by what stands ahead of them); within its class an id's chance is
 its smoothed share of what followed the class of the id before (START for a text's first id), over word borders too,
 counted over all training documents. The weights start from Adam on windows drawn from all training documents; then many
-learners go on from there, each on a fixed share of the windows of its own part of the documents, and their weights are
-averaged.
+learners go on from there, each on every window of its own part of the documents, and their weights are averaged.
 """
 
 from __future__ import annotations
@@ -23,14 +22,14 @@ STRIDE = WINDOW - CONTEXT
 WIDTH, HIDDEN, INPUTS, ALONE, CLASSES = 24, 48, 4096, 128, 192
 #: The start of training: windows, drawn evenly from all training documents, steps, windows in a step, step size.
 DRAWN, STEPS, BATCH, RATE = 100_000, 2500, 128, 4e-3
-#: Then over all documents: rounds of averaging, share of the windows in each, step size.
-ROUNDS, SHARE, LATER_RATE = 1, 1 / 64, 2e-3
+#: Then over all windows of all training documents: turns that they are dealt to, after each of which weights are averaged; step size.
+ROUNDS, LATER_RATE = 3, 2e-3
 #: Rounds of the clustering of ids, and what the ids' common neighbours weigh in a cluster.
 CLUSTER_ROUNDS, CLUSTER_PRIOR = 12, 5.0
 #: What a class's own shares weigh against those after a class.
 PRIOR = 10.0
-#: Windows that are scored at once.
-AT_ONCE = 32
+#: Windows that are scored at once, and learned from.
+AT_ONCE, LEARNT_AT_ONCE = 32, 64
 NONE = -1e9
 
 
@@ -210,51 +209,118 @@ class Model:
         return (got.astype(np.float64) / np.log(10)).reshape(target.shape) + self.in_class(before, target)
 
     def slopes(self, rows: np.ndarray, dead: np.ndarray, target: np.ndarray, live: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """(mean loss of the classes, gradients)."""
-        w, t = self.w, self.forward(rows, dead)
-        n = len(rows)
-        l = t["l"] - t["l"].max(axis=1, keepdims=True)
-        p = np.exp(l)
-        p /= p.sum(axis=1, keepdims=True)
-        cls, keep = self.cls[target].ravel(), live.ravel().astype(np.float32)
-        loss = float(-(np.log(p[np.arange(len(p)), cls] + 1e-12) * keep).sum() / max(1.0, keep.sum()))
-        p[np.arange(len(p)), cls] -= 1
-        p *= (keep / max(1.0, keep.sum()))[:, None]
-        g = {"u": t["f"].T @ p, "ub": p.sum(axis=0)}
-        df = (p @ w["u"].T).reshape(n, STRIDE, WIDTH)
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        g["b"] = flat(t["z"]).T @ flat(df)
-        dz = (df @ w["b"].T) * (t["z"] > 0)
-        g["a"], g["ab"] = flat(t["h"]).T @ flat(dz), flat(dz).sum(axis=0)
-        dh = df + dz @ w["a"].T
-        g["o"] = flat(t["c"]).T @ flat(dh)
-        dc = dh @ w["o"].T
-        dv = t["s"].transpose(0, 2, 1) @ dc
-        ds = dc @ t["v"].transpose(0, 2, 1)
-        ds = t["s"] * (ds - (ds * t["s"]).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dq, dk = ds @ t["k"], ds.transpose(0, 2, 1) @ t["q"]
-        g["q"], g["k"], g["v"] = flat(t["y"]).T @ flat(dq), flat(t["x"]).T @ flat(dk), flat(t["x"]).T @ flat(dv)
-        dx = dk @ w["k"].T + dv @ w["v"].T
-        dx[:, CONTEXT:] += dh + dq @ w["q"].T
-        g["p"] = dx.sum(axis=0)
-        g["e"] = np.zeros_like(w["e"])
-        np.add.at(g["e"], rows.ravel(), flat(dx))
+        """(mean loss of the classes, gradients), some windows at a time, so that what they need stays near the core."""
+        count, loss, g, inputs = max(1.0, float(live.sum())), 0.0, {}, []
+        for a in range(0, len(rows), LEARNT_AT_ONCE):
+            b = a + LEARNT_AT_ONCE
+            one, part, dx = self.part_slopes(rows[a:b], dead[a:b], self.cls[target[a:b]].ravel(), live[a:b].ravel(), count)
+            loss += one
+            g = {n: g[n] + x for n, x in part.items()} if g else part
+            inputs.append(dx)
+        g["e"] = np.zeros_like(self.w["e"])
+        row = rows.ravel().astype(np.uint16)
+        order = np.argsort(row, kind="stable")
+        row = row[order]
+        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        g["e"][row[first]] = np.add.reduceat(np.concatenate(inputs).take(order, 0), first)
         return loss, g
 
-    def descend(self, shown: tuple[np.ndarray, ...], steps: int, seed: int, most: float = RATE) -> list[float]:
-        """Adam on these windows; the losses by step."""
-        (rows, dead, target, live), r, losses = shown, np.random.default_rng(seed), []
-        mean = {n: np.zeros_like(x) for n, x in self.w.items()}
-        var = {n: np.zeros_like(x) for n, x in self.w.items()}
-        for t in range(1, steps + 1):
-            at = r.integers(0, len(rows), min(BATCH, len(rows)))
-            loss, g = self.slopes(rows[at], dead[at], target[at], live[at])
+    def part_slopes(self, rows: np.ndarray, dead: np.ndarray, cls: np.ndarray, live: np.ndarray, count: float) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+        """These windows' part of the loss and of the gradients, and the gradients of their input rows; what forward() says, with fewer
+        passes: biases are further columns, and sums that chances are divided by scale narrow arrays in place of wide ones."""
+        w, n, kind = self.w, len(rows), self.w["e"].dtype
+        size, scale = n * STRIDE, kind.type(WIDTH**-0.5)
+        kv_w, q_w = np.concatenate([w["k"], w["v"]], axis=1), w["q"] * scale
+        a_w, u_w = np.concatenate([w["a"], w["ab"][None]]), np.concatenate([w["u"], w["ub"][None]])
+        x = w["e"].take(rows.ravel(), 0).reshape(n, WINDOW, WIDTH)
+        x += w["p"]
+        y = x[:, CONTEXT:].reshape(-1, WIDTH)
+        x = x.reshape(-1, WIDTH)
+        kv = (x @ kv_w).reshape(n, WINDOW, 2 * WIDTH)
+        k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
+        q = (y @ q_w).reshape(n, STRIDE, WIDTH)
+        s = q @ k.transpose(0, 2, 1)
+        s += MASK
+        s[dead, :, :CONTEXT] = NONE
+        if not s.max() < 60:  # beyond which sums leave single precision's range
+            s -= s.max(axis=2, keepdims=True)
+        np.exp(s, out=s)
+        seen = (s @ np.ones(WINDOW, kind)).reshape(-1, 1)
+        seen += kind.type(1e-30)
+        c = (s @ v).reshape(-1, WIDTH)
+        c /= seen
+        h = np.ones((size, WIDTH + 1), kind)
+        np.add(c @ w["o"], y, out=h[:, :WIDTH])
+        z = h @ a_w
+        np.maximum(z, 0, out=z)
+        f = h.copy()
+        f[:, :WIDTH] += z @ w["b"]
+        p = f @ u_w
+        if not p.max() < 60:
+            p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        at, norm = np.arange(size), p @ np.ones(CLASSES, kind) + kind.type(1e-30)
+        keep = live.astype(kind) / kind.type(count)
+        loss = -float(np.log(p[at, cls] / norm + 1e-12) @ keep)
+        p[at, cls] -= norm
+        part = (keep / norm)[:, None]
+        f *= part
+        u = f.T @ p
+        df = p @ w["u"].T
+        df *= part
+        g = {"u": u[:WIDTH], "ub": u[WIDTH], "b": z.T @ df}
+        dz = df @ w["b"].T
+        dz *= z > 0
+        both = h.T @ dz
+        g["a"], g["ab"] = both[:WIDTH], both[WIDTH]
+        df += dz @ w["a"].T
+        g["o"] = c.T @ df
+        dc = df @ w["o"].T
+        dc /= seen
+        own = np.einsum("ij,ij->i", dc, c).reshape(n, STRIDE, 1)
+        dc = dc.reshape(n, STRIDE, WIDTH)
+        ds = dc @ v.transpose(0, 2, 1)
+        ds -= own
+        ds *= s
+        dq = (ds @ k).reshape(-1, WIDTH)
+        dkv = np.concatenate([ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ dc], axis=2).reshape(-1, 2 * WIDTH)
+        g["q"] = y.T @ dq * scale
+        both = x.T @ dkv
+        g["k"], g["v"] = both[:, :WIDTH], both[:, WIDTH:]
+        dx = (dkv @ kv_w.T).reshape(n, WINDOW, WIDTH)
+        df += dq @ q_w.T
+        dx[:, CONTEXT:] += df.reshape(n, STRIDE, WIDTH)
+        g["p"] = dx.sum(axis=0)
+        return loss, g, dx.reshape(-1, WIDTH)
+
+    def descend(self, shown: tuple[np.ndarray, ...] | np.ndarray, steps: int, seed: int, most: float = RATE, least: float = 0.1, state: dict | None = None) -> list[float]:
+        """Adam on these windows, packed or not; the losses by step. Each pass takes every window once, in a random order; the step size
+        falls to the share least. state: an empty dict, or what an earlier call left in it to go on from."""
+        packed, state = isinstance(shown, np.ndarray), {} if state is None else state
+        size, r, losses, order = len(shown if packed else shown[0]), np.random.default_rng(seed), [], np.zeros(0, np.int64)
+        mean = state.setdefault("mean", {n: np.zeros_like(x) for n, x in self.w.items()})
+        var = state.setdefault("var", {n: np.zeros_like(x) for n, x in self.w.items()})
+        for step in range(1, steps + 1):
+            t = state["t"] = state.get("t", 0) + 1
+            if len(order) < min(BATCH, size):
+                order = np.concatenate([order, r.permutation(size)])
+            at, order = order[:BATCH], order[BATCH:]
+            loss, g = self.slopes(*(unpacked_windows(shown[at]) if packed else (x[at] for x in shown)))
             losses.append(loss)
-            rate = most * min(1, t / 30) * (1 - 0.9 * t / steps)
+            rate = most * min(1, t / 30) * (1 - (1 - least) * step / steps)
             for n, x in g.items():
-                mean[n] += 0.1 * (x - mean[n])
-                var[n] += 0.01 * (x * x - var[n])
-                self.w[n] -= (rate * (mean[n] / (1 - 0.9**t)) / (np.sqrt(var[n] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+                mean[n] *= 0.9
+                mean[n] += 0.1 * x
+                var[n] *= 0.99
+                x *= x
+                x *= 0.01
+                var[n] += x
+                np.sqrt(var[n], out=x)
+                x *= (1 - 0.99**t) ** -0.5
+                x += 1e-8
+                np.divide(mean[n], x, out=x)
+                x *= rate / (1 - 0.9**t)
+                self.w[n] -= x
         return losses
 
     def id_chances(self, texts: list[np.ndarray]) -> np.ndarray:

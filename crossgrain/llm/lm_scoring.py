@@ -12,9 +12,10 @@ so that what the corpus repeats word for word weighs in a score too.
 
 from __future__ import annotations
 
+import itertools
 import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .attention_lm import BATCH, CLASSES, DRAWN, END, LATER_RATE, ROUNDS, SHARE, STEPS, STRIDE, VOCABULARY, Model, packed_windows, unpacked_windows, windows
+from .attention_lm import BATCH, CLASSES, DRAWN, END, LATER_RATE, ROUNDS, STEPS, STRIDE, VOCABULARY, Model, packed_windows, unpacked_windows, windows
 from .common import materialize
 from .tokens import WordTokenizer, tokenizer_path
 
@@ -33,6 +34,8 @@ BLOCK_BYTES, SHARD_BYTES, LEAST_SHARDS = 16 << 20, 16 << 20, 16
 MOST_PARTS = 100_000
 #: Ids that are learned from or scored at once, about.
 PART_IDS = 200_000
+#: Windows that a task learns from before it reads on, about.
+HELD = 1 << 15
 #: Weight of the attention model in a word's chance.
 MIX = 0.8
 #: Steps for each doubling of a count, by which counts travel in one byte.
@@ -190,7 +193,7 @@ def as_ids(blocks: DataFrame, counts: DataFrame, shards: int, total: int, distin
     return materialize(both.applyInArrow(run, form), "ids", row_group=16 << 20)
 
 
-def in_parts(ids: pd.Series) -> Iterator[list[np.ndarray]]:
+def in_parts(ids: Iterable[bytes]) -> Iterator[list[np.ndarray]]:
     """The id sequences in parts of about PART_IDS."""
     part, size = [], 0
     for t in ids:
@@ -268,20 +271,22 @@ def started(texts: DataFrame, model: Model, ids: int) -> dict[str, np.ndarray]:
 
 
 def averaged(texts: DataFrame, model: Model, turn: int) -> dict[str, np.ndarray]:
-    """Weights after a round over all training documents: each task goes on from the model's on a share of its windows,
-    with as many steps as those fill. Weights are averaged by their windows; 16 sums reach the driver."""
+    """Weights after a turn over the training documents: each task goes on from the model's on all windows of those that fall to
+    the turn, by their ids' crc32, each window once; every document falls to one of ROUNDS turns. A task holds about HELD windows.
+    Weights are averaged by their windows; 16 sums reach the driver. The step size falls by turns."""
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        task, shown = TaskContext.get().partitionId(), []
-        r = np.random.default_rng([turn, task])
-        for x in batches:
-            for part in in_parts(x["ids"]):
-                shown.append(packed_windows(windows(part, model, r, SHARE)))
-        n = sum(map(len, shown))
+        task, held, n, state = TaskContext.get().partitionId(), [], 0, {}
+        parts = (part for x in batches for part in in_parts([t for t in x["ids"] if zlib.crc32(t) % ROUNDS == turn]))
+        for part in itertools.chain(parts, [None]):
+            held += [] if part is None else [packed_windows(windows(part, model))]
+            size = sum(map(len, held))
+            if size and (part is None or size >= HELD):
+                model.descend(np.concatenate(held), -(-size // BATCH), turn, LATER_RATE * (1 - turn / ROUNDS), 1.0, state)
+                held, n = [], n + size
         if n:
-            model.descend(unpacked_windows(np.concatenate(shown)), -(-n // BATCH), turn, LATER_RATE / (1 + turn))
             yield pd.DataFrame({"slot": [task % 16], "n": [n], "w": [pickle.dumps({k: x * np.float64(n) for k, x in model.w.items()})]})
 
     def add(x: pd.DataFrame) -> pd.DataFrame:
@@ -299,7 +304,7 @@ def averaged(texts: DataFrame, model: Model, turn: int) -> dict[str, np.ndarray]
 
 
 def trained(texts: DataFrame) -> Model:
-    """A model fitted to all training documents."""
+    """A model fitted to all training documents: after its start, every one of their windows is learned from."""
     counts = id_counts(texts)
     model = Model.of_counts(counts)
     model.regroup(counts, *pair_counts(texts, model))

@@ -126,3 +126,15 @@ def test_it_learns_the_order():
     after = model.score(held).sum()
     tokens = sum(len(t) + 1 for t in held)
     assert (before - after) / tokens < -0.5  # half of the ids become certain: 0.8 digits each
+
+
+def test_a_pass_learns_from_every_window(monkeypatch):
+    texts = made(30)
+    model = A.Model.of_counts(counts(texts))
+    shown = A.packed_windows(A.windows(texts, model))
+    seen, slopes = [], A.Model.slopes
+    monkeypatch.setattr(A.Model, "slopes", lambda self, *x: (seen.append(A.packed_windows(x)), slopes(self, *x))[1])
+    model.descend(shown, -(-len(shown) // A.BATCH), 3)
+    assert len(shown) > A.BATCH
+    assert {x.tobytes() for x in shown} == {x.tobytes() for one in seen for x in one}
+    assert sum(map(len, seen)) < len(shown) + A.BATCH

@@ -93,3 +93,14 @@ def test_held_out_cost_is_below_the_add_one_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = L.score(docs).where("held_out").selectExpr("sum(score) AS s", "sum(base_score) AS b", "sum(n_tokens) AS n").first()
     assert got["s"] / got["n"] > got["b"] / got["n"] + 0.15
+
+
+def test_the_turns_learn_from_all_windows(spark, monkeypatch):
+    """Without a start, the windows of all documents are enough to learn a rule by; a 64th of them is not."""
+    monkeypatch.setattr(L, "STEPS", 1)
+    rng = np.random.default_rng(4)
+    made = lambda: np.stack([2 * rng.integers(0, 20, 2400), np.zeros(2400, int)], axis=1)
+    pairs = [(x + [0, 1] + np.stack([np.zeros(len(x), int), x[:, 0]], axis=1)).ravel() for x in (made() for _ in range(400))]  # an even id, then the next number
+    texts = spark.createDataFrame([(k, False, x.astype("<u2").tobytes()) for k, x in enumerate(pairs)], "doc_id long, held_out boolean, ids binary").repartition(1)
+    model = L.trained(texts)
+    assert -model.score([pairs[0]])[0] / (len(pairs[0]) + 1) < 0.75  # 0.65 by the rule, 1.3 without
