@@ -53,14 +53,24 @@ class Rules:
     strict_slots: bool = True  # False: the limit of slots is looked at once a date
 
 
-def composite(df: DataFrame, parts=BASE_SCORE) -> DataFrame:
-    """Adds score: the weighted sum of average ranks of the parts within the date; null parts count as 0."""
-    df = df.withColumns({f"_{name}": F.expr(e).cast("double") for name, e, _ in parts}).withColumn("score", F.lit(0.0))
+def score_parts(parts=BASE_SCORE) -> dict[str, Column]:
+    """The columns that ranked() needs."""
+    return {f"_{name}": F.expr(e).cast("double") for name, e, _ in parts}
+
+
+def ranked(df: DataFrame, parts=BASE_SCORE) -> DataFrame:
+    """Adds score in place of score_parts(): the weighted sum of their average ranks within the date; null parts count as 0."""
+    df = df.withColumn("score", F.lit(0.0))
     for name, _, weight in parts:  # one at a time, so that rows are sorted with the parts still to come alone
         df = df.withColumn("score", F.col("score") + F.coalesce(average_rank(f"_{name}"), F.lit(0.0)) * weight).drop(f"_{name}")
     return df
 
 
+def composite(df: DataFrame, parts=BASE_SCORE) -> DataFrame:
+    """Adds score: the weighted sum of average ranks of the parts within the date; null parts count as 0."""
+    return ranked(df.withColumns(score_parts(parts)), parts)
+
+
 def candidates(df: DataFrame, trend: bool = True) -> DataFrame:
     """Rows that may be bought: tradable, and in an upward middle position."""
     df = df.where("is_suspended = 0 AND limit_up = 0 AND limit_down = 0")

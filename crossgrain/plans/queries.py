@@ -428,7 +428,8 @@ def simulated(spark, sf_dir) -> DataFrame:
     day = portfolio.market_gate(days(df), 20).select("date", F.col("open").alias("market_open"))
     df = df.withColumn("buyable", F.coalesce(F.expr(portfolio.BUYABLE), F.lit(False)))
     parts = bars.parts(table(spark, sf_dir, "lineitem"))
-    scored = portfolio.composite(df.repartition(parts, "date")).select("date", "code", "buyable", "score")
+    sides = df.select("date", "code", "buyable", *[e.alias(n) for n, e in portfolio.score_parts().items()])
+    scored = portfolio.ranked(sides.repartition(parts, "date"))
     rules = portfolio.Rules(capital=2e6, position=5e5, min_cash=1e5)
     return portfolio.simulate(df, portfolio.grid(rules, gate=[True, False], hold=[0, 5], top=[3, 5]), day, scored)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from crossgrain.functions.core import average_rank, finite, rounded, runs
 from crossgrain.operators import factors, gates, ic, study
-from crossgrain.sources import tables
+from crossgrain.sources import panel, tables
 from crossgrain.streaming import bars as stream
 
 DAY = dt.date(2020, 1, 1)
@@ -164,3 +164,26 @@ def test_the_last_of_several_appends_stays(spark, tmp_path):
     merged = spark.read.parquet(one)
     assert merged.columns == ["date", "code", "v"]
     assert {(r["date"], r["code"]): r["v"] for r in merged.collect()} == want
+
+
+def test_trades_are_packed_without_loss(spark):
+    """Rows that three longs cannot hold travel as they are; the others as five columns."""
+    at = lambda *x: dt.datetime(2020, 1, 6, *x)
+    odd = [
+        (1, at(), 5, 1, 7, 3.0, 100.25), (1, at(13, 5, 1, 7), 5, 1, 7, 3.0, 100.25), (1, at(), -5, 1, 7, 3.0, 100.25), (1, at(), 5, 99, 7, 3.0, 100.25),
+        (2, at(), 5, 1, None, 3.0, 100.25), (2, at(), 5, 1, 7, 3.5, 100.25), (2, at(), 5, 1, 7, 3.0, 100.123), (None, at(), 1 << 62, 1, 7, 3.0, 100.25),
+        (3, at(), 5, 1, 7, 2000.0, 1e300), (3, at(), 5, 1, 7, float("inf"), float("nan")), (3, dt.datetime(1950, 1, 2), 5, 1, 7, 1.0, -0.01), (4, at(), 5, None, 1 << 61, 1023.0, 0.0),
+        (4, at(), 5, 1, 7, float("nan"), None),
+    ]
+    for stamp in ("timestamp", "timestamp_ntz"):
+        df = spark.createDataFrame(odd, f"l_suppkey long, l_shipdate {stamp}, l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double")
+        got = panel.dealt(df, 3)
+        assert got.dtypes == [(c, dict(df.dtypes)[c]) for c in got.columns]
+        assert sorted(map(repr, got.select(*df.columns).collect())) == sorted(map(repr, df.collect()))
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").select(*panel.TRADE_COLUMNS)
+    got = panel.dealt(lines, 3)
+    assert got.exceptAll(lines.select(*got.columns)).count() == 0 and got.count() == lines.count()
+    sent = got._jdf.queryExecution().optimizedPlan().children().apply(0)
+    assert [f.name() for f in sent.schema().fields()] == ["l_suppkey", "_row", "_a", "_b", "_c"]
+    narrow = spark.createDataFrame(odd, "l_suppkey long, l_shipdate timestamp, l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double").withColumn("l_quantity", F.col("l_quantity").cast("float"))
+    assert panel.dealt(narrow, 3).dtypes == narrow.dtypes  # not packed
