@@ -28,8 +28,8 @@ ROUNDS, LATER_RATE = 3, 2e-3
 CLUSTER_ROUNDS, CLUSTER_PRIOR = 12, 5.0
 #: What a class's own shares weigh against those after a class.
 PRIOR = 10.0
-#: Windows that are scored at once, and learned from.
-AT_ONCE, LEARNT_AT_ONCE = 32, 64
+#: Windows that are scored at once, and learned from (thirds of a step).
+AT_ONCE, LEARNT_AT_ONCE = 32, 43
 NONE = -1e9
 
 
@@ -98,7 +98,7 @@ class Model:
         by_class = np.zeros((CLASSES, CLASSES))
         np.add.at(by_class, (before, self.cls[ids]), n)
         share = table + PRIOR * 10.0 ** self.within[used]
-        self.after = np.log10(share / (by_class[:, self.cls[used]] + PRIOR)).astype(np.float32)
+        self.after = np.log10(share / (by_class[:, self.cls[used]] + PRIOR)).astype(np.float32, order="C")
         self.missing = np.log10(PRIOR / (by_class + PRIOR))
 
     def regroup(self, counts: np.ndarray, before: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
@@ -139,11 +139,12 @@ class Model:
 
     def in_class(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """log10 chances of ids within their classes, after ids of the classes before."""
-        column = self.column[ids]
-        if self.after.shape[1] == 0 or (column < 0).any():
-            other = self.within[ids] + self.missing[before, self.cls[ids]]
-            return other if self.after.shape[1] == 0 else np.where(column < 0, other, self.after[before, column])
-        return self.after[before, column]
+        column, n = self.column.take(ids), self.after.shape[1]
+        known = self.after.ravel().take(before.astype(np.int64) * n + column) if n else None  # one index, which is faster
+        if n and not (column < 0).any():
+            return known
+        other = self.within[ids] + self.missing[before, self.cls[ids]]
+        return np.where(column < 0, other, known) if n else other
 
     def forward(self, rows: np.ndarray, dead: np.ndarray) -> dict[str, np.ndarray]:
         """rows: input rows (windows, WINDOW); dead: windows whose CONTEXT holds no id. Scores the last STRIDE of each."""
@@ -222,7 +223,9 @@ class Model:
         order = np.argsort(row, kind="stable")
         row = row[order]
         first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-        g["e"][row[first]] = np.add.reduceat(np.concatenate(inputs).take(order, 0), first)
+        sums = np.concatenate(inputs).take(order, 0)
+        pairs = sums.view(np.result_type(sums, np.complex64))  # two columns in one addition
+        g["e"][row[first]] = np.add.reduceat(pairs, first).view(sums.dtype)
         return loss, g
 
     def part_slopes(self, rows: np.ndarray, dead: np.ndarray, cls: np.ndarray, live: np.ndarray, count: float) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
@@ -232,6 +235,7 @@ class Model:
         size, scale = n * STRIDE, kind.type(WIDTH**-0.5)
         kv_w, q_w = np.concatenate([w["k"], w["v"]], axis=1), w["q"] * scale
         a_w, u_w = np.concatenate([w["a"], w["ab"][None]]), np.concatenate([w["u"], w["ub"][None]])
+        b_w = np.concatenate([w["b"], np.zeros((HIDDEN, 1), kind)], axis=1)
         x = w["e"].take(rows.ravel(), 0).reshape(n, WINDOW, WIDTH)
         x += w["p"]
         y = x[:, CONTEXT:].reshape(-1, WIDTH)
@@ -253,8 +257,8 @@ class Model:
         np.add(c @ w["o"], y, out=h[:, :WIDTH])
         z = h @ a_w
         np.maximum(z, 0, out=z)
-        f = h.copy()
-        f[:, :WIDTH] += z @ w["b"]
+        f = z @ b_w
+        f += h
         p = f @ u_w
         if not p.max() < 60:
             p -= p.max(axis=1, keepdims=True)
@@ -263,12 +267,11 @@ class Model:
         keep = live.astype(kind) / kind.type(count)
         loss = -float(np.log(p[at, cls] / norm + 1e-12) @ keep)
         p[at, cls] -= norm
-        part = (keep / norm)[:, None]
-        f *= part
-        u = f.T @ p
+        part = keep / norm
+        g = {"u": (f[:, :WIDTH] * part[:, None]).T @ p, "ub": part @ p}
         df = p @ w["u"].T
-        df *= part
-        g = {"u": u[:WIDTH], "ub": u[WIDTH], "b": z.T @ df}
+        df *= part[:, None]
+        g["b"] = z.T @ df
         dz = df @ w["b"].T
         dz *= z > 0
         both = h.T @ dz
@@ -283,7 +286,10 @@ class Model:
         ds -= own
         ds *= s
         dq = (ds @ k).reshape(-1, WIDTH)
-        dkv = np.concatenate([ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ dc], axis=2).reshape(-1, 2 * WIDTH)
+        dkv = np.empty((n, WINDOW, 2 * WIDTH), kind)
+        np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :WIDTH])
+        np.matmul(s.transpose(0, 2, 1), dc, out=dkv[:, :, WIDTH:])
+        dkv = dkv.reshape(-1, 2 * WIDTH)
         g["q"] = y.T @ dq * scale
         both = x.T @ dkv
         g["k"], g["v"] = both[:, :WIDTH], both[:, WIDTH:]

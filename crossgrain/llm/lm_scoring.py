@@ -76,8 +76,8 @@ def coded_block(block: int, docs: pa.Table, shards: int) -> Iterator[pa.RecordBa
     edges -= edges[0]
     n = before[edges[1:]] - before[edges[:-1]]
     coded_ = found.filter(pa.array(real)).dictionary_encode()
-    words = coded_.dictionary.view(pa.binary()).to_pylist()
-    shard = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % shards
+    words = coded_.dictionary.view(pa.binary())
+    shard = np.fromiter(map(zlib.crc32, words.to_numpy(zero_copy_only=False)), np.int64, len(words)) % shards
     order = np.argsort(shard, kind="stable")
     place = np.empty(len(words), np.uint32)
     place[order] = np.arange(len(words), dtype=np.uint32)
@@ -93,12 +93,13 @@ def coded_block(block: int, docs: pa.Table, shards: int) -> Iterator[pa.RecordBa
     cut = np.searchsorted(shard[order], np.arange(shards + 1))
     full = np.flatnonzero(np.diff(cut))
     parts = [(int(cut[k]), int(cut[k + 1])) for k in full]
-    sent = [b"\n".join([words[j] for j in order[a:b].tolist()]) for a, b in parts]
+    lists = pa.ListArray.from_arrays(pa.array(np.append(cut[full], len(words)).astype(np.int32)), words.take(pa.array(order)))
+    sent = pc.binary_join(lists, pa.scalar(b"\n", pa.binary()))
     sums = [counts[a:b].astype("<i8").tobytes() for a, b in parts]
     m = len(parts)
     yield pa.record_batch(
         [none(pa.string(), m), none(pa.bool_(), m), pa.array(np.full(m, block)), none(pa.binary(), m),
-         pa.array(full.astype(np.int64)), pa.array(sent, pa.binary()), pa.array(sums, pa.binary())], schema=CODED,
+         pa.array(full.astype(np.int64)), sent, pa.array(sums, pa.binary())], schema=CODED,
     )
 
 
@@ -270,16 +271,21 @@ def started(texts: DataFrame, model: Model, ids: int) -> dict[str, np.ndarray]:
     return pickle.loads(got[0]["w"]) if got else model.w
 
 
+def of_turn(texts: DataFrame, turn: int) -> DataFrame:
+    """The ids of the training documents that fall to a turn, by their crc32; others are not sent to Python."""
+    return texts.where("NOT held_out").where(F.crc32("ids") % ROUNDS == turn).select("ids")
+
+
 def averaged(texts: DataFrame, model: Model, turn: int) -> dict[str, np.ndarray]:
     """Weights after a turn over the training documents: each task goes on from the model's on all windows of those that fall to
-    the turn, by their ids' crc32, each window once; every document falls to one of ROUNDS turns. A task holds about HELD windows.
+    the turn, each window once; every document falls to one of ROUNDS turns. A task holds about HELD windows.
     Weights are averaged by their windows; 16 sums reach the driver. The step size falls by turns."""
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         task, held, n, state = TaskContext.get().partitionId(), [], 0, {}
-        parts = (part for x in batches for part in in_parts([t for t in x["ids"] if zlib.crc32(t) % ROUNDS == turn]))
+        parts = (part for x in batches for part in in_parts(x["ids"]))
         for part in itertools.chain(parts, [None]):
             held += [] if part is None else [packed_windows(windows(part, model))]
             size = sum(map(len, held))
@@ -296,7 +302,7 @@ def averaged(texts: DataFrame, model: Model, turn: int) -> dict[str, np.ndarray]
         return pd.DataFrame({"slot": x["slot"].iloc[:1], "n": [x["n"].sum()], "w": [pickle.dumps(w)]})
 
     form = "slot long, n long, w binary"
-    got = texts.where("NOT held_out").select("ids").mapInPandas(fit, form).groupBy("slot").applyInPandas(add, form).toPandas()
+    got = of_turn(texts, turn).mapInPandas(fit, form).groupBy("slot").applyInPandas(add, form).toPandas()
     if not len(got):
         return model.w
     all_ = add(got)

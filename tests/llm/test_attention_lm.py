@@ -118,6 +118,24 @@ def test_gradients():
         assert np.isclose((up - down) / 2e-4, slope[at], rtol=2e-2, atol=1e-5), name
 
 
+def test_gradients_do_not_depend_on_how_many_windows_are_taken_at_once(monkeypatch):
+    """In single precision, as in use; input rows that occur once, often and never."""
+    texts = made(12)
+    model = A.Model.of_counts(counts(texts))
+    x = A.windows(texts, model)[:4]
+    whole = {}
+    for at_once in (1, 7, len(x[0])):
+        monkeypatch.setattr(A, "LEARNT_AT_ONCE", at_once)
+        loss, g = model.slopes(*x)
+        whole = whole or g | {"loss": loss}
+        assert np.isclose(loss, whole["loss"], rtol=1e-5)
+        for name, slope in g.items():
+            assert slope.dtype == np.float32 and slope.shape == model.w[name].shape
+            assert np.allclose(slope, whole[name], rtol=1e-3, atol=1e-6), name
+    unused = np.setdiff1d(np.arange(A.INPUTS), x[0])
+    assert len(unused) and not whole["e"][unused].any()
+
+
 def test_it_learns_the_order():
     train, held = made(80, 1), made(20, 2)
     model = A.Model.of_counts(counts(train))

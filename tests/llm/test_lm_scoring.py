@@ -104,3 +104,13 @@ def test_the_turns_learn_from_all_windows(spark, monkeypatch):
     texts = spark.createDataFrame([(k, False, x.astype("<u2").tobytes()) for k, x in enumerate(pairs)], "doc_id long, held_out boolean, ids binary").repartition(1)
     model = L.trained(texts)
     assert -model.score([pairs[0]])[0] / (len(pairs[0]) + 1) < 0.75  # 0.65 by the rule, 1.3 without
+
+
+def test_every_training_document_falls_to_one_turn_and_only_its_turn_is_sent_it(spark):
+    rng = np.random.default_rng(6)
+    ids = [rng.integers(0, 900, int(n)).astype("<u2").tobytes() for n in rng.integers(0, 30, 200)] + [b"", b""]
+    texts = spark.createDataFrame([(k % 7 == 2, x) for k, x in enumerate(ids)], "held_out boolean, ids binary")
+    turns = [Counter(bytes(r["ids"]) for r in L.of_turn(texts, turn).collect()) for turn in range(A.ROUNDS)]
+    assert sum(turns, Counter()) == Counter(x for k, x in enumerate(ids) if k % 7 != 2)
+    assert all(zlib.crc32(x) % A.ROUNDS == turn for turn, got in enumerate(turns) for x in got)
+    assert all(turns)
